@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minimax_shards, quality_cascade
+from . import decontaminate, language_id, minimax_shards, piece_codec, quality_cascade, toxicity_fm
 
 QUERIES = {
+    "op2_language_hierarchy": language_id.query,
     "op3_quality_cascade": quality_cascade.query,
+    "op4_piece_codec": piece_codec.query,
+    "op6_toxicity_fm": toxicity_fm.query,
     "op8_minimax_shards": minimax_shards.query,
     "op9_decontamination": decontaminate.query,
 }
