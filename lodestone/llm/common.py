@@ -130,9 +130,15 @@ class Words:
         total = np.empty(len(buf) + 1, np.uint64)
         total[0] = 0
         np.cumsum(_LETTER[buf] * up[: len(buf)], out=total[1:])
+        self._total, self._down = total, down
         self.hash = mix((total[ends] - total[starts]) * down[starts])
         self.first = np.searchsorted(starts, offsets)  # of each text, and the end
 
+    def beginnings(self, which: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the first `size` bytes of the words `which`, unlike those of whole words."""
+        a = self.starts[which]
+        return mix((self._total[a + size] - self._total[a]) * self._down[a] + np.uint64(0x5851F42D4C957F2D))
+
     def windows(self, k: int, seed: int = 0) -> np.ndarray:
         """Fingerprints of k words from each position on; those of the last k - 1 words run past the end and mean nothing."""
         h = self.hash

@@ -81,7 +81,8 @@ def assign(docs: DataFrame, *, shards: int = SHARDS, unit_bits: int = UNIT_BITS,
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: only the `key` law grows)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     unit = F.shiftrightunsigned(F.xxhash64(text), 64 - unit_bits).cast("int")
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), unit.alias("unit"))
+    # the text is read once; what follows needs about 24 bytes a row
+    rows = C.written(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), unit.alias("unit")), "shard-rows")
     sizes = rows.groupBy("unit").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("unit")
     ends = cuts(sizes["s"].to_numpy(np.int64), shards)
     units = sizes["unit"].to_numpy(np.int64)
@@ -89,14 +90,18 @@ def assign(docs: DataFrame, *, shards: int = SHARDS, unit_bits: int = UNIT_BITS,
     first = [int(units[e]) if e < len(units) else 1 << unit_bits for e in ends[:-1]]
     total = int(sizes["n"].sum()) if len(sizes) else 0
     blocks = max(1, -(-total // ROWS_PER_BLOCK))
-    shard: Column = F.size(F.filter(F.array(*[F.lit(x) for x in first]), lambda x: x <= F.col("unit"))) if first else F.lit(0)
-    placed = rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    shard: Column = F.lit(0)
+    for x in first:
+        shard = shard + (F.col("unit") >= F.lit(x)).cast("int")
+    placed = C.written(rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")), "shard-placed")
+    C.dropped(rows)
     counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("shard", "block", before.alias("before"))
+    offsets = counts.select(F.col("shard").alias("s"), F.col("block").alias("b"), before.alias("before"))
     own = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
+    numbered = placed.withColumn("own", own)
     return (
-        placed.withColumn("own", own).join(offsets, ["shard", "block"])
+        numbered.join(offsets, (numbered["shard"] == offsets["s"]) & (numbered["block"] == offsets["b"]))
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("own")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 

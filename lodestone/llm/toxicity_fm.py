@@ -1,9 +1,9 @@
 r"""Toxicity by a sparse factorization machine over hashed terms.
 
-Terms are the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z, hashed into 2**40 buckets; a text is the set of
-its terms. The logit is w0 + sum w_i + sum over pairs <v_i, v_j>, so a pair of terms can weigh what neither does alone. A
+Terms are the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z and their beginnings of 4 to 8 bytes (an insult
+keeps its stem when it is inflected or compounded), hashed into 2**40 buckets; a text is the set of its terms. The logit is w0 + sum w_i + sum over pairs <v_i, v_j>, so a pair of terms can weigh what neither does alone. A
 proximal step (L1 on w, group lasso on each v_i) leaves only terms that tell the classes apart, so thousands of neutral words in
-a very long text add nothing, and the model that goes to the executors has at most ``max_terms`` terms (48 bytes each).
+a very long text add nothing, and the model that goes to the executors has at most ``max_terms`` terms (80 bytes each).
 
 Learning uses rows of `labels` for which crc32(doc_id as text) mod 5 is not 0, at most about ``max_rows`` of them, half of each
 class, drawn by a hash of doc_id (the sample's bound is the only thing that does not grow with the input), and the text of those
@@ -27,19 +27,37 @@ from . import common as C
 from .language_id import held_out
 
 MAX_ROWS = 4_000
-MAX_TERMS = 50_000
+MAX_TERMS = 4_000
 FACTORS = 8
+RATE, SPARSITY = 0.03, 5e-4
+#: An input is a bucket and a level: the bucket's words number at least that many in the text.
+LEVELS = (1, 2, 3, 5)
+STEMS = (4, 5, 6, 7, 8)
 _BUCKET = np.uint64((1 << 40) - 1)
 
 
 def _terms(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of each word."""
+    """Bucket and text of each term."""
     w = C.Words(buf, offsets, C.ALNUM)
-    return w.hash & _BUCKET, np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
+    terms, owners = [w.hash & _BUCKET], [text]
+    size = w.ends - w.starts
+    for k in STEMS:
+        long = np.flatnonzero(size > k)
+        terms.append(w.beginnings(long, k) & _BUCKET)
+        owners.append(text[long])
+    return np.concatenate(terms), np.concatenate(owners)
+
+
+def _levels(buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (bucket * 4 + level number) and the position in `buckets` that each comes from."""
+    reached = np.array([counts >= k for k in LEVELS])
+    level, where = np.nonzero(reached)
+    return buckets[where] * np.uint64(4) + level.astype(np.uint64), where
 
 
 class Model:
-    def __init__(self, rows: list[np.ndarray] | None = None, y: np.ndarray | None = None, rate: float = 0.5, *, epochs: int = 30, max_terms: int = MAX_TERMS, seed: int = 11):
+    def __init__(self, rows: list[np.ndarray] | None = None, y: np.ndarray | None = None, rate: float = 0.5, *, epochs: int = 40, max_terms: int = MAX_TERMS, seed: int = 11):
         self.keys = np.empty(0, np.uint64)
         self.w, self.v = np.empty(0), np.empty((0, FACTORS))
         self.b = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
@@ -49,54 +67,60 @@ class Model:
 
     def _index(self) -> None:
         self.bits = np.zeros(1 << 16, bool)
-        self.bits[self.keys & np.uint64(0xFFFF)] = True
+        self.bits[(self.keys >> np.uint64(2)) & np.uint64(0xFFFF)] = True
 
     def _learn(self, rows, y, rate, epochs, max_terms, seed) -> None:
+        """Screens the inputs by the difference of their class frequencies, then fits by Adagrad with proximal steps."""
         rng = np.random.default_rng(seed)
-        keys, df = np.unique(np.concatenate(rows), return_counts=True)
-        keys = keys[df >= 3]  # a term of one or two texts of the sample cannot be told from noise
-        idx = [np.searchsorted(keys, r[np.isin(r, keys)]) for r in rows]
-        weight = np.where(y > 0, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
+        keys, which = np.unique(np.concatenate(rows), return_inverse=True)
+        doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        ones, zeros = y.sum(), (1 - y).sum()
+        in_one = np.bincount(which, y[doc], len(keys))
+        seen = np.bincount(which, minlength=len(keys))
+        p1, p0 = (in_one + 0.5) / (ones + 1), (seen - in_one + 0.5) / (zeros + 1)
+        z = np.abs(p1 - p0) / np.sqrt(p1 * (1 - p1) / (ones + 1) + p0 * (1 - p0) / (zeros + 1))
+        often = np.flatnonzero(seen >= 5)  # an input of a few texts of the sample cannot be told from noise
+        keys = keys[np.sort(often[np.argsort(-z[often], kind="stable")[:max_terms]])]
+        idx = [np.searchsorted(keys, x[np.isin(x, keys, assume_unique=True)]) for x in rows]
+        weight = np.where(y > 0, rate * len(y) / ones, (1 - rate) * len(y) / zeros)
         d = len(keys)
-        w, v, b = np.zeros(d), rng.normal(0, 0.02, (d, FACTORS)), self.b
-        sw, sv, sb = np.zeros(d), np.zeros(d), 1.0  # sums of squared gradients
+        w, v, b = np.zeros(d), rng.normal(0, 0.01, (d, FACTORS)), self.b
+        sw, sv, sb = np.full(d, 1e-3), np.full(d, 1e-3), 1e-2  # sums of squared gradients
         for _ in range(epochs):
-            order = rng.permutation(len(rows))
-            for at in range(0, len(rows), 256):
-                take = order[at : at + 256]
+            for take in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 128)):
                 flat = np.concatenate([idx[i] for i in take])
                 own = np.repeat(np.arange(len(take)), [len(idx[i]) for i in take])
                 total = np.stack([np.bincount(own, v[flat, f], len(take)) for f in range(FACTORS)], 1)
                 square = np.bincount(own, np.square(v[flat]).sum(1), len(take))
-                z = b + np.bincount(own, w[flat], len(take)) + 0.5 * (np.square(total).sum(1) - square)
-                g = weight[take] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]) / len(take)
+                logit = b + np.bincount(own, w[flat], len(take)) + 0.5 * (np.square(total).sum(1) - square)
+                g = weight[take] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[take]) / len(take)
                 gw = np.bincount(flat, g[own], d)
                 gv = np.stack([np.bincount(flat, g[own] * (total[own, f] - v[flat, f]), d) for f in range(FACTORS)], 1)
-                sb += g.sum() ** 2
-                b -= 0.2 * g.sum() / math.sqrt(sb)
                 sw += np.square(gw)
-                sv += np.square(gv).sum(1)
-                rw, rv = 0.2 / np.sqrt(sw + 1e-4), 0.05 / np.sqrt(sv + 1e-4)
+                sv += np.square(gv).mean(1)
+                sb += g.sum() ** 2
+                rw, rv = RATE / np.sqrt(sw), RATE / 3 / np.sqrt(sv)
+                b -= RATE * g.sum() / math.sqrt(sb)
                 w -= rw * gw
-                w = np.sign(w) * np.maximum(np.abs(w) - rw * 1.5e-3, 0)
+                w = np.sign(w) * np.maximum(np.abs(w) - rw * SPARSITY, 0)
                 v -= rv[:, None] * gv
-                norm = np.sqrt(np.square(v).sum(1))
-                v *= np.maximum(1 - rv * 1.5e-3 / np.maximum(norm, 1e-12), 0)[:, None]
-        power = np.abs(w) + np.square(v).sum(1)
+                v *= np.maximum(1 - rv * SPARSITY / np.maximum(np.sqrt(np.square(v).sum(1)), 1e-12), 0)[:, None]
         used = np.flatnonzero((w != 0) | (np.square(v).sum(1) > 1e-6))
-        used = np.sort(used[np.argsort(-power[used], kind="stable")[:max_terms]])
         self.keys, self.w, self.v, self.b = keys[used], w[used], v[used], float(b)
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         terms, doc = _terms(buf, offsets)
         maybe = np.flatnonzero(self.bits[terms & np.uint64(0xFFFF)])
-        terms, doc = terms[maybe], doc[maybe]
-        at = np.searchsorted(self.keys, terms)
+        order = np.lexsort((terms[maybe], doc[maybe]))
+        terms, doc = terms[maybe][order], doc[maybe][order]
+        new = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (doc[1:] != doc[:-1])])) if len(terms) else np.empty(0, np.int64)
+        inputs, where = _levels(terms[new], np.diff(np.append(new, len(terms))))
+        doc = doc[new][where]
+        at = np.searchsorted(self.keys, inputs)
         known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == terms[known]
-        pairs = np.unique(doc[known] * max(len(self.keys), 1) + at[known])  # a term counts once in a text
-        doc, at = pairs // max(len(self.keys), 1), pairs % max(len(self.keys), 1)
+        known[known] = self.keys[at[known]] == inputs[known]
+        doc, at = doc[known], at[known]
         z = self.b + np.bincount(doc, self.w[at], n)
         for f in range(FACTORS):
             own = self.v[at, f]
@@ -121,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, id_col:
             keys, y = C.as_array(batch, "doc_id"), C.as_array(batch, "y")
             for a, b, buf, offsets in C.segments(C.as_array(batch, "text")):
                 terms, doc = _terms(buf, offsets)
-                own = [np.unique(terms[doc == d]).tobytes() for d in range(b - a)]
+                own = [_levels(*np.unique(terms[doc == d], return_counts=True))[0].tobytes() for d in range(b - a)]
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), y.slice(a, b - a), pa.array(own, pa.binary())], names=["doc_id", "y", "terms"])
 
     found = texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, y int, terms binary").collect()
