@@ -46,10 +46,11 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "10 * word_chars < 20 * n_words OR word_chars > 12 * n_words", 5.0, "1"),
     Rule("symbol_share", "10 * n_symbols > n_words", 5.0, "1"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines", 5.0, "1"),
+    Rule("duplicate_lines", "100 * n_dup_lines > 50 * n_lines", 5.0, "1"),
     Rule("few_letters", r"5 * length(regexp_replace(text, '[^\\p{L}]+', '')) < 3 * word_chars", 12.0, "length(text)"),
     Rule("shouting", r"n_words >= 20 AND 2 * length(regexp_replace(text, '[^\\p{Lu}]+', '')) > word_chars", 12.0, "length(text)"),
     Rule("bullet_lines", r"10 * regexp_count(text, '(?m)^[\\x20\\x09]*[-*•]') > 9 * n_lines", 2.0, "length(text)"),
+    Rule("stutter", "4 * size(filter(words, (w, i) -> i > 0 AND w = words[greatest(i - 1, 0)])) > n_words", 90.0, "n_words"),
     Rule("low_variety", "20 * size(array_distinct(words)) < n_words", 45.0, "n_words"),
 )
 
@@ -166,10 +167,11 @@ SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(word_chars AS bigint) AS
   NOT (base_failed
     OR 10 * word_chars < 20 * n_words OR word_chars > 12 * n_words
     OR 10 * n_symbols > n_words
-    OR 100 * n_dup_lines > 30 * n_lines
+    OR 100 * n_dup_lines > 50 * n_lines
     OR 5 * length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) < 3 * word_chars
     OR (n_words >= 20 AND 2 * length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) > word_chars)
     OR 10 * len(regexp_extract_all(text, '(?m)^[\x20\x09]*[-*•]')) > 9 * n_lines
+    OR 4 * len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) > n_words
     OR 20 * len(list_distinct(w)) < n_words) AS kept
 FROM s
 """

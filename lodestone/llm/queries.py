@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, minimax_shards, piece_codec, quality_cascade, toxicity_fm, warc_revisit
+from . import decontaminate, jaccard_join, language_id, license_scan, minimax_shards, piece_codec, quality_cascade, toxicity_fm, warc_revisit
 
 QUERIES = {
     "op2_language_hierarchy": language_id.query,
     "op3_quality_cascade": quality_cascade.query,
     "op4_piece_codec": piece_codec.query,
+    "op5_jaccard_join": jaccard_join.query,
     "op6_toxicity_fm": toxicity_fm.query,
     "op7_warc_revisit": warc_revisit.query,
     "op8_minimax_shards": minimax_shards.query,
     "op9_decontamination": decontaminate.query,
     "op10_license_scan": license_scan.query,
 }
-ORACLES = {"op3_quality_cascade": quality_cascade.SQL, "op7_warc_revisit": warc_revisit.SQL, "op9_decontamination": decontaminate.SQL}
+ORACLES = {"op3_quality_cascade": quality_cascade.SQL, "op5_jaccard_join": jaccard_join.SQL, "op7_warc_revisit": warc_revisit.SQL, "op9_decontamination": decontaminate.SQL}
