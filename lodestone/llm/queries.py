@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, license_scan, minimax_shards, piece_codec, quality_cascade, toxicity_fm, warc_revisit
+from . import decontaminate, jaccard_join, language_id, license_scan, minimax_shards, piece_codec, quality_cascade, token_store, toxicity_fm, warc_revisit
 
 QUERIES = {
+    "op1_token_store": token_store.query,
     "op2_language_hierarchy": language_id.query,
     "op3_quality_cascade": quality_cascade.query,
     "op4_piece_codec": piece_codec.query,
