@@ -4,8 +4,8 @@ A paragraph is a line of a text. Its words are runs of `[a-z0-9]` (joined by `.`
 the distinct word 1- to 3-grams. A sparse softmax regression over them gives each licence family and the class `unknown` a
 probability. It is trained on the driver, on the built-in notices (`NOTICES`, with cut-out variants) against `unknown` paragraphs:
 fixed look-alikes and at most about ``negative_rows`` paragraphs of the input, drawn by a hash of the text (the sample's bound is
-a parameter; the rest covers all paragraphs). n-grams that occur in a hundredth of those paragraphs are no features, and L1 leaves
-few weights. The softmax temperature, fitted on held-out variants, calibrates `unknown`.
+a parameter; the rest covers all paragraphs). n-grams that occur in a hundredth of those paragraphs, or all of whose words do, are
+no features, and L1 leaves few weights. The softmax temperature, fitted on held-out variants, calibrates `unknown`.
 
 A paragraph without any weighted n-gram is `unknown` by the offsets alone, and every weighted n-gram has one word in a small
 trigger set, so texts and lines without a trigger word are passed over; no verdict changes by that.
@@ -101,7 +101,8 @@ class Model:
                 common[g] = common.get(g, 0) + 1
         rows += [(ngrams(words(x)), unknown) for x in LOOK_ALIKES for _ in range(8)] + [(ngrams(words(n)), unknown) for n in own]
         notices = set().union(*(g for g, k in rows if k != unknown))
-        vocabulary = sorted(g for g in notices if common.get(g, 0) * 100 < max(len(own), 1))
+        rare = lambda g: common.get(g, 0) * 100 < max(len(own), 1)
+        vocabulary = sorted(g for g in notices if rare(g) and any(map(rare, g.split(" "))))
         at = {g: i for i, g in enumerate(vocabulary)}
         x = np.zeros((len(rows), len(vocabulary)))
         for i, (g, _) in enumerate(rows):
