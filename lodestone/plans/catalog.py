@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog_search
+from . import catalog_graph, catalog_search
 
-_PARTS = (catalog_search,)
+_PARTS = (catalog_search, catalog_graph)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
