@@ -19,8 +19,11 @@ Candidates must share prefix tokens under three global orders of the shingles:
 
 Pairs come from buckets of documents that keep the same token, in rounds: first each document meets one centre of its bucket
 (the document with the largest share of counted tokens, which in a group of near copies is the one that the others are made
-from), which needs rows in proportion to the bucket; links merge documents into components; then only documents that are still in
-different components and have not met are paired. Sizes must allow the link. So a large group of near copies costs a star, and no link between different texts is lost.
+from), which needs rows in proportion to the bucket; links merge documents into components. What is left are documents of different
+components that keep a common token. For these, order 2 is taken again over their whole sets: tokens found in one component alone
+come first, as no partner in another one can have them, then the others by exact rarity. A document with more than q(n) of the
+former is done; two of the rest meet if they keep a common token, and their sizes and the places of the token leave room for the
+overlap that a link needs. So a large group of near copies costs a star, and no link between different texts is lost.
 
 State is Parquet in the shared folder; nothing is collected but counts. Components come from min-label propagation with pointer
 jumping over links. Shingle fingerprints may agree by chance for two different shingles of a pair with a probability of about
@@ -45,6 +48,7 @@ SHINGLE = 4
 PERCENT = 85
 LEAST_SPARE = 48
 STAR_ROUNDS = 2
+SIEVES = 2
 
 
 def allowed_misses(n, percent: int = PERCENT):
@@ -228,7 +232,7 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, id_
     labels = C.written(members.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), "labels")
     met: DataFrame | None = None  # every pair that was verified
     for turn in range(STAR_ROUNDS + 1):
-        pairs = C.written(_pairs(buckets, labels, met, percent, turn), "pairs")
+        pairs = C.written(_pairs(buckets, labels, sets, met, percent, turn), "pairs")
         found = C.written(_verified(pairs, sets, percent), "met")
         C.dropped(pairs)
         met = found if met is None else met.unionByName(found)
@@ -246,7 +250,20 @@ def _small(ids: DataFrame, most: int = 4_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
-def _pairs(buckets: DataFrame, labels: DataFrame, met: DataFrame | None, percent: int, turn: int) -> DataFrame:
+def _sieved(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(t, doc_id, n, place, label): what documents of still open buckets keep when order 2 is taken over their whole sets, and the
+    place of each token in that order. Tokens that stand in one component only cannot be shared with a partner in another: they come
+    first in the order and leave. A document with more than q(n) of them has no such partner and drops out."""
+    tokens = sets.join(_small(open_.select("doc_id")), "doc_id", "left_semi").join(open_, "doc_id").select("doc_id", "label", F.size("s").alias("n"), F.explode("s").alias("t"))
+    across = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t", "m")
+    mine = tokens.join(across, "t").groupBy("doc_id", "n", "label").agg(F.array_sort(F.collect_list(F.struct("m", "t"))).alias("x"))
+    keep = F.expr(f"n - cast(ceil({percent} * n / 100D) as int) + 1 - (n - size(x))")
+    kept = mine.select("doc_id", "n", "label", F.size("x").alias("able"), keep.alias("k"), "x").where("k > 0")
+    rows = kept.select("doc_id", "n", "able", "label", F.posexplode(F.slice("x", F.lit(1), F.col("k"))).alias("i", "e"))
+    return C.written(rows.select(F.col("e.t").alias("t"), "doc_id", "n", (F.col("n") - F.col("able") + F.col("i") + 1).alias("place"), "label"), "sieved")
+
+
+def _pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, met: DataFrame | None, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) to verify in this round: stars around a centre of each bucket, at last all that are left."""
     rows = buckets if turn == 0 else buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id")
     if turn:
@@ -260,8 +277,15 @@ def _pairs(buckets: DataFrame, labels: DataFrame, met: DataFrame | None, percent
         centre = rows.groupBy("t").agg(F.max_by(F.struct(*fields), order).alias("c"))
         pairs = rows.join(centre, "t").where(f"doc_id <> c.doc_id AND {apart}").selectExpr("c.doc_id AS a", "doc_id AS b", "c.n AS na", "n AS nb")
     else:
-        other = rows.selectExpr("t", "doc_id AS b", "n AS nb", "label AS lb")
-        pairs = rows.join(other, "t").where("doc_id < b AND label <> lb").selectExpr("doc_id AS a", "b", "n AS na", "nb")
+        left = _sieved(rows.select("doc_id", "label").distinct(), sets, percent)
+        for _ in range(SIEVES - 1):  # who dropped out is nobody's partner, so its tokens count no more
+            fewer = _sieved(left.select("doc_id", "label").distinct(), sets, percent)
+            C.dropped(left)
+            left = fewer
+        other = left.selectExpr("t", "doc_id AS b", "n AS nb", "place AS pb", "label AS lb")
+        # at the first common token no more can be common than what follows in either; later tokens need not bring the pair again
+        enough = f"(100 + {percent}) * (1 + least(n - place, nb - pb)) >= {percent} * (n + nb)"
+        pairs = left.join(other, "t").where(f"doc_id < b AND label <> lb AND 100 * n >= {percent} * nb AND 100 * nb >= {percent} * n AND {enough}").selectExpr("doc_id AS a", "b", "n AS na", "nb")
     pairs = pairs.where(f"100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
     pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
     if met is not None:

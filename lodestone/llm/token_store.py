@@ -20,9 +20,9 @@ these by digest, and CRC-32s of a document's chunks are combined in order (CRC(A
 B), and so are the Merkle roots. So every id is read and checked, while payloads do not move. `reconstruct` does move them and
 returns the ids.
 
-Encoding is the tokenizers library's. Where its file is a byte-level BPE without a normaliser, a text is cut by the same pattern
-that the library uses and every distinct word goes through the library once in a task; a text with characters beyond Latin-1 is
-encoded whole (the pattern's character classes may depend on the Unicode version there).
+Encoding is the tokenizers library's. Where its file is a byte-level BPE without a normaliser, a Latin-1 text is cut into words as
+the library's pattern cuts it, and each distinct word (by a 64-bit fingerprint) goes through the library's model once in a Python
+process; a text with other characters is encoded whole by the library.
 
 Edge cases: null and empty text are the end id alone; null doc_ids come first; repeated rows are documents of their own, in any
 order; very long texts are whole (a recipe grows with its text); an empty table gives an empty store with a null root; further
@@ -47,7 +47,7 @@ from . import common as C
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 WINDOW, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 4_000_000
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -59,51 +59,131 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+# character classes of Latin-1: letters, numbers, white space, other (fixed by Unicode since its first versions)
+_LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 256)]] = _LETTER
+_CLASS[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMBER
+_CLASS[[*range(9, 14), 32, 0x85, 0xA0]] = _SPACE
+
+
+def word_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the byte-level pattern ('s|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?others|space before space|space) begins a word, in
+    Latin-1 texts that stand one after the other."""
+    n = len(buf)
+    if not n:
+        return np.empty(0, np.int64)
+    kind = _CLASS[buf]
+    blank = kind == _SPACE
+    first = np.zeros(n, bool)  # of a text
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    last = np.zeros(n, bool)
+    last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    before = np.concatenate([[_SPACE], kind[:-1]])
+    after_blank = np.concatenate([[False], blank[:-1]]) & ~first
+    after_plain = np.concatenate([[False], buf[:-1] == 32]) & ~first
+    before_word = np.concatenate([~blank[1:], [False]]) & ~last
+    # a word takes one plain space before it along; a run of white space gives its last character away
+    start = np.where(blank, ~after_blank | before_word, ((kind != before) | first) & ~after_plain)
+    quote = np.flatnonzero((buf == 39) & start)
+    if len(quote):
+        room = np.concatenate([buf, np.zeros(3, np.uint8)])
+        text_end = offsets[np.searchsorted(offsets, quote, side="right")]
+        one, two = room[quote + 1], room[quote + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8)) & (quote + 1 < text_end)
+        pair = one.astype(np.int32) * 256 + two
+        long = np.isin(pair, [ord("r") * 256 + ord("e"), ord("v") * 256 + ord("e"), ord("l") * 256 + ord("l")]) & (quote + 2 < text_end)
+        for which, size in ((short, 2), (long, 3)):
+            q = quote[which]
+            start[q + 1] = False
+            rest = q + size
+            start[rest[rest < text_end[which]]] = True
+    return np.flatnonzero(start | first)
+
+
 class Encoder:
-    """ids of texts as bytes of little-endian unsigned 32-bit integers."""
+    """ids of texts. Known words: sorted fingerprints, and their ids in one flat array."""
 
     def __init__(self, spec: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         form = json.loads(spec)
-        pre = form.get("pre_tokenizer") or {}
-        plain = form["model"].get("type", "BPE") == "BPE" and not form.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not form["model"].get("dropout")
-        # the byte-level pattern of the library (fixed value)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall if plain else None
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        words, easy, hard = [], [], []
+        pre, model = form.get("pre_tokenizer") or {}, form["model"]
+        self.plain = (
+            model.get("type", "BPE") == "BPE" and not form.get("normalizer") and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+            and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        )
+        # how a byte-level vocabulary writes bytes: printable ones as they are, the others from 256 on
+        shown = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 256)]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        tokenize, shown = self.tokenizer.model.tokenize, self.shown
+        ids = [[t.id for t in tokenize(w.decode("latin-1").encode().decode("latin-1").translate(shown))] for w in words]
+        counts = np.array([len(x) for x in ids], np.int64)
+        at = len(self.flat) + np.cumsum(counts) - counts
+        self.flat = np.concatenate([self.flat, np.array(list(chain.from_iterable(ids)), np.uint32)])
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.counts = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.counts, where, counts)
+
+    def _latin(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        starts = word_starts(buf, offsets)
+        ends = np.append(starts[1:], len(buf))
+        up, down = C._power(len(buf) + 1)
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(C._LETTER[buf] * up[: len(buf)], out=total[1:])
+        prints = C.mix((total[ends] - total[starts]) * down[starts]) if len(buf) else np.empty(0, np.uint64)
+        distinct, where, inverse = np.unique(prints, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHED_WORDS:
+            self._forget()
+        found = np.searchsorted(self.keys, distinct)
+        known = found < len(self.keys)
+        known[known] = self.keys[found[known]] == distinct[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = buf.tobytes()
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+            found = np.searchsorted(self.keys, distinct)
+        counts = self.counts[found][inverse]
+        ids = self.flat[C.gathered(self.at[found][inverse], counts)]
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(sums[np.searchsorted(starts, offsets)])
+
+    def __call__(self, texts: list[str], tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, ids of each); each text's ids are followed by `tail`."""
+        easy, hard, latin = [], [], []
         for i, t in enumerate(texts):
             try:
-                if self.split is None:
-                    raise UnicodeEncodeError("", "", 0, 0, "")
-                t.encode("latin-1")
-            except UnicodeEncodeError:
-                hard.append(i)
-            else:
+                if not self.plain:
+                    raise ValueError
+                latin.append(t.encode("latin-1"))
                 easy.append(i)
-                words.append(self.split(t))
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        self.known.update(zip(new, self._whole(new), strict=True))
-        get = self.known.__getitem__
-        for i, w in zip(easy, words, strict=True):
-            out[i] = b"".join(map(get, w))
-        for i, ids in zip(hard, self._whole([texts[i] for i in hard]), strict=True):
-            out[i] = ids
-        return out
+            except ValueError:
+                hard.append(i)
+        ids, counts = self._latin(latin)
+        if hard:
+            own = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)]
+            parts: list[np.ndarray] = [None] * len(texts)
+            for i, x in zip(easy, np.split(ids, np.cumsum(counts)[:-1]) if easy else [], strict=True):
+                parts[i] = x
+            for i, x in zip(hard, own, strict=True):
+                parts[i] = x
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        if tail is not None:
+            ids, counts = np.insert(ids, np.cumsum(counts), tail), counts + 1
+        return ids.astype("<u4", copy=False), counts
 
 
 _encoders: dict[str, Encoder] = {}
@@ -207,21 +287,18 @@ def _encoded(docs: DataFrame, spec: str, end_id: int | None, id_col: str, text_c
     """One row per document; fresh: payloads that this task has not shipped yet."""
     handle = docs.sparkSession.sparkContext.broadcast(spec)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = encoder(handle.value), set()
         for batch in batches:
             keys, column = C.as_array(batch, "doc_id"), C.as_array(batch, "text")
-            for a, b, _, _ in C.segments(column, 4 << 20):
-                streams = [x + tail for x in encode(column.slice(a, b - a).to_pylist())]
-                counts = np.array([len(s) // 4 for s in streams], np.int64)
-                raw = b"".join(streams)
-                ids = np.frombuffer(raw, "<u4")
+            for a, b, _, _ in C.segments(column, 8 << 20):
+                ids, counts = encode(column.slice(a, b - a).to_pylist(), end_id)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
+                raw = ids.tobytes()
                 lengths, digests, roots, crcs, fresh = [], [], [], [], []
-                for s, at, cuts in zip(streams, offsets[:-1].tolist(), cut_points(ids, offsets), strict=True):
-                    own, new, before = [], [], 0
+                for at, end, cuts in zip(offsets[:-1].tolist(), offsets[1:].tolist(), cut_points(ids, offsets), strict=True):
+                    s, own, new, before = raw[4 * at : 4 * end], [], [], 0
                     for c in cuts:
                         part = s[4 * before : 4 * c]
                         d = hashlib.sha256(part).digest()[:16]
