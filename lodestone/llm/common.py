@@ -69,6 +69,13 @@ def _clean() -> None:
             return
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows from now on, where the session has Spark's default: texts may be long, and a Python worker
+    keeps the memory that its largest batch took."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,7 +100,7 @@ ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for k, b in enumerate((_BASE, _BASE_INVERSE)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
@@ -150,7 +157,7 @@ class Words:
         return mix(out)
 
 
-def segments(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def segments(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about `most` bytes; null is empty; a longer text is a run by itself."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     n = len(column)

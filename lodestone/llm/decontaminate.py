@@ -90,6 +90,7 @@ class _Index:
 
 def _scan(docs: DataFrame, index: _Index, id_col: str, text_col: str) -> DataFrame:
     """doc id, n_words, hit word spans (starts, ends as word numbers), the byte spans of those words, item ids."""
+    C.small_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +127,7 @@ def _scan(docs: DataFrame, index: _Index, id_col: str, text_col: str) -> DataFra
 
 
 def _clean_rows(docs: DataFrame, index: _Index) -> DataFrame:
+    C.small_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,7 @@ def _mapped(docs: DataFrame, schema: str, rows) -> DataFrame:
             for a, b, buf, offsets in C.segments(C.as_array(batch, "text")):
                 yield rows(state, ids.slice(a, b - a), buf, offsets)
 
+    C.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

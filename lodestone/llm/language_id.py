@@ -214,6 +214,7 @@ def _letter(text_col: str) -> Column:
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
+    C.small_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), _letter(text_col).alias("letter"))
 
@@ -227,6 +228,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 def keep(docs: DataFrame, *, model: Model | None = None, min_score: float = KEEP_SCORE) -> DataFrame:
     """The documents in a learned language with a score of at least min_score, filtered where they are read, all columns kept."""
+    C.small_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     columns = docs.columns
     source = docs.withColumn("__letter", _letter("text"))

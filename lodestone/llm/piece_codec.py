@@ -267,6 +267,7 @@ def codec(proto: bytes) -> Codec:
 def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (array of int; only with_ids), ids_crc32 (little-endian unsigned 32-bit ids), decoded_crc32 and
     decoded_bytes of the text that the ids decode to, exact: whether that is the normalised text."""
+    C.small_batches(docs.sparkSession)
     proto = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +276,7 @@ def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id",
         c = codec(proto.value)
         for batch in batches:
             keys = C.as_array(batch, "doc_id")
-            for a, b, buf, offsets in C.segments(C.as_array(batch, "text"), 4 << 20):
+            for a, b, buf, offsets in C.segments(C.as_array(batch, "text"), 2 << 20):
                 ids, each, norm, norm_at = c.encode(buf, offsets)
                 ends = np.cumsum(each)
                 back = c.decoded(ids).tobytes()

@@ -47,7 +47,7 @@ from . import common as C
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 WINDOW, AVERAGE, LEAST, MOST = 16, 512, 128, 4096
-CACHED_WORDS = 4_000_000
+CACHED_WORDS = 1_500_000
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -285,6 +285,7 @@ def crc_joined(a: int, b: int, b_bytes: int) -> int:
 
 def _encoded(docs: DataFrame, spec: str, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
     """One row per document; fresh: payloads that this task has not shipped yet."""
+    C.small_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(spec)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -292,7 +293,7 @@ def _encoded(docs: DataFrame, spec: str, end_id: int | None, id_col: str, text_c
         encode, seen = encoder(handle.value), set()
         for batch in batches:
             keys, column = C.as_array(batch, "doc_id"), C.as_array(batch, "text")
-            for a, b, _, _ in C.segments(column, 8 << 20):
+            for a, b, _, _ in C.segments(column, 2 << 20):
                 ids, counts = encode(column.slice(a, b - a).to_pylist(), end_id)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 raw = ids.tobytes()

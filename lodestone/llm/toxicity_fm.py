@@ -155,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, id_col:
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    C.small_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
