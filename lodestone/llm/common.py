@@ -151,7 +151,7 @@ class Words:
         h = self.hash
         n = len(h)
         out = np.full(n, np.uint64(0x2545F4914F6CDD1D + 2 * seed), np.uint64)
-        for j in range(k):
+        for j in range(min(k, n)):
             part = h[j:] if j else h
             out[: n - j] = (out[: n - j] + part) * np.uint64(0xD6E8FEB86659FD93 + 2 * seed)
         return mix(out)
