@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.tables import written
 from .rank import content_pairs
 
 LEAST_CONFIDENCE = 0.1
@@ -29,7 +30,7 @@ def exact_dedup(rows: DataFrame) -> DataFrame:
 
 def near_dedup(rows: DataFrame, near: float = NEAR) -> DataFrame:
     """In order of position, a row stays unless it is near (Jaccard of word sets) a row that stayed, or equal to an earlier one."""
-    rows = exact_dedup(rows)
+    rows = written(exact_dedup(rows))  # a bounded list for each query, read three times below
     place = rows.select("query_id", F.col("id").alias("other"), F.col("position").alias("other_position"))
     close = content_pairs(rows).where(F.round("similarity", 9) >= near).join(place, ["query_id", "other"])
     before = (

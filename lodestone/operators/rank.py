@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..functions.constants import TRUSTED_SOURCES
+from ..sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,7 @@ def rank(rows: DataFrame, c: Ranking = Ranking()) -> DataFrame:
     """All factors, final score after boosts and penalties, their labels, rank; the `limit` best of each query. Of a query's rows the
     first 2 * limit by base score are looked at."""
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base_score"), "id"))
-    rows = rows.withColumn("place", first).where(F.col("place") <= 2 * c.limit).drop("place")
+    rows = written(rows.withColumn("place", first).where(F.col("place") <= 2 * c.limit).drop("place"))  # read for the factors and for the pairs
     scored = factors(rows, c).join(diversity(rows, c.radius), ["query_id", "id"])
     total = c.relevance + c.freshness + c.authority + c.quality + c.diversity + c.personal
     mean = (
