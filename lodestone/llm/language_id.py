@@ -17,6 +17,7 @@ counts as held out; repeated rows are predicted row by row; further columns are
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,7 +88,7 @@ def _sample(docs: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), langs.slice(a, b - a), pa.array([i.tobytes() for i in idx], pa.binary()), pa.array([v.tobytes() for v in val], pa.binary())], names=["doc_id", "lang", "idx", "val"])
 
     found = chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, lang string, idx binary, val binary").collect()
-    found.sort(key=lambda r: (str(r.doc_id), r.lang, r.idx))
+    found.sort(key=lambda r: (r.lang, zlib.crc32(str(r.doc_id).encode()), r.idx))  # Model takes the rows of a language together
     langs = sorted({r.lang for r in found})
     at = {x: k for k, x in enumerate(langs)}
     x = np.zeros((len(found), 2 * DIM), np.float32)
@@ -96,18 +97,24 @@ def _sample(docs: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col
     return langs, np.array([at[r.lang] for r in found], np.int64), x
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, classes weighted alike, by accelerated gradient steps. y is -1 or 1."""
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, np.float32)
+def _svm(parts: list[tuple[np.ndarray, float]], rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss, classes weighted alike, by accelerated gradient steps. parts: rows (views, never copied) and
+    their class, -1 or 1."""
+    count = {c: max(sum(len(x) for x, y in parts if y == c), 1) for c in (-1.0, 1.0)}
+    size = parts[0][0].shape[1]
+    w = np.zeros(size + 1, np.float32)
     look, t = w.copy(), 1.0
-    step = 1.0 / (2 * float((weight * (np.square(x).sum(1) + 1)).sum()) + ridge)
+    norm = sum(float(np.einsum("ij,ij->", x, x) + len(x)) * 0.5 / count[y] for x, y in parts)
+    step = 1.0 / (2 * norm + ridge)
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ look[:-1] + look[-1])) * weight * y
-        grad = np.concatenate([-2 * (slack @ x), [-2 * slack.sum()]]) + ridge * look
+        grad = ridge * look
+        for x, y in parts:
+            slack = np.maximum(0, 1 - y * (x @ look[:-1] + look[-1])) * np.float32(y * 0.5 / count[y])
+            grad[:-1] -= 2 * (slack @ x)
+            grad[-1] -= 2 * slack.sum()
         new = look - step * grad
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        look, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+        look, w, t = new + np.float32((t - 1) / t_new) * (new - w), new, t_new
     return w[:-1], float(w[-1])
 
 
@@ -120,7 +127,7 @@ def _slope(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 class Model:
-    """families: names, languages of each; problems: (kind, i, j) with weights (2 DIM x problems), offsets and slopes."""
+    """label is ascending, as the rows of a language stand together in x. families: names, languages of each; problems: (kind, i, j) with weights (2 DIM x problems), offsets and slopes."""
 
     def __init__(self, langs: list[str], label: np.ndarray, x: np.ndarray, families: dict[str, str] | None = None):
         table = FAMILY if families is None else families
@@ -128,32 +135,36 @@ class Model:
         names = [table.get(c, f"own:{c}") for c in langs]
         self.families = sorted(set(names))
         self.members = [[k for k, f in enumerate(names) if f == name] for name in self.families]
-        scale = 1 / (x.std(0) + 1e-4) if len(x) else np.ones(x.shape[1], np.float32)
-        scaled = x * (scale / math.sqrt(x.shape[1]) * 8).astype(np.float32) if len(x) else x
-        test = np.arange(len(x)) % 5 == 4
+        # x is scaled in place, and the weights are brought back to shares at the end
+        n = max(len(x), 1)
+        mean = x.sum(0, dtype=np.float64) / n
+        spread = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / n - mean**2, 0))
+        scale = (8 / math.sqrt(x.shape[1]) / (spread + 1e-4)).astype(np.float32)
+        x *= scale
+        cut = np.searchsorted(label, np.arange(len(langs) + 1))
+        held = [e - (e - a) // 5 for a, e in zip(cut[:-1], cut[1:], strict=True)]  # the last fifth of each language
         self.problems: list[tuple[str, int, int]] = []
         w, b, slopes = [], [], []
 
-        def learn(kind: str, i: int, j: int, plus: np.ndarray, minus: np.ndarray) -> None:
-            use = plus | minus
-            y = np.where(plus, 1.0, -1.0).astype(np.float32)
-            v, c = _svm(scaled[use & ~test], y[use & ~test])
-            held = use & test
+        def learn(kind: str, i: int, j: int, plus: list[int], minus: list[int]) -> None:
+            sides = [(k, 1.0) for k in plus] + [(k, -1.0) for k in minus]
+            v, c = _svm([(x[cut[k] : held[k]], y) for k, y in sides])
+            margins = np.concatenate([x[held[k] : cut[k + 1]] @ v + c for k, _ in sides])
             self.problems.append((kind, i, j))
-            slopes.append(_slope(scaled[held] @ v + c, y[held]))
-            w.append(v * scale / math.sqrt(x.shape[1]) * 8)
+            slopes.append(_slope(margins, np.concatenate([np.full(cut[k + 1] - held[k], y) for k, y in sides])))
+            w.append(v * scale)
             b.append(c)
 
-        family_of = np.array([self.families.index(f) for f in names], np.int64)[label] if len(label) else label
+        every = set(range(len(langs)))
         if len(self.families) == 2:
-            learn("family", 0, 1, family_of == 0, family_of == 1)
+            learn("family", 0, 1, *self.members)
         elif len(self.families) > 2:
-            for k in range(len(self.families)):
-                learn("family", k, -1, family_of == k, family_of != k)
+            for k, own in enumerate(self.members):
+                learn("family", k, -1, own, sorted(every - set(own)))
         for own in self.members:
             for a, i in enumerate(own):
                 for j in own[a + 1 :]:
-                    learn("pair", i, j, label == i, label == j)
+                    learn("pair", i, j, [i], [j])
         self.w = np.ascontiguousarray(np.array(w, np.float32).T) if w else np.zeros((2 * DIM, 0), np.float32)
         self.b, self.slopes = np.array(b), np.array(slopes)
 
