@@ -201,3 +201,25 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == I.chunk_stream(docs, most=100, overlap=10).count()
+
+
+def test_config(tmp_path):
+    from lodestone import config as CF
+
+    c = CF.Config(processing=CF.Processing(chunk_size=500, overlap=50))
+    CF.save(c, str(tmp_path / "c.json"))
+    assert CF.load(str(tmp_path / "c.json")) == c
+    for bad in (lambda: CF.Processing(chunk_size=10, overlap=10), lambda: CF.Retrieval(max_results=0), lambda: CF.Storage(form="xml")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_format(spark):
+    from lodestone.operators import format as FM
+
+    schema = "query_id int, id int, content string, confidence double, source string, why_selected string"
+    out = FM.evidence(rows(spark, schema, (1, 1, "x" * 600, 0.5, "a", " "), (1, 2, "y", 0.9, "a", "because"), (1, 3, "z", 0.05, "b", None)), least=0.1)
+    got = {r.id: r for r in out.collect()}
+    assert got[2].rank == 1 and len(got[1].content) == 503 and got[1].why_selected == "selected based on relevance" and 3 not in got
+    assert "0.900 a: y" in FM.display(out)
+    assert FM.merged_conflicts(rows(spark, "id string, kind string, severity string", ("1", "a", "severe")), rows(spark, "id string, kind string, severity string", ("1", "b", "low"), ("2", "c", "??"))).orderBy("id").collect()[0].severity == "high"
