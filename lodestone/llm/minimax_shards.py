@@ -83,12 +83,12 @@ def assign(docs: DataFrame, *, shards: int = SHARDS, unit_bits: int = UNIT_BITS,
     unit = F.shiftrightunsigned(F.xxhash64(text), 64 - unit_bits).cast("int")
     # the text is read once; what follows needs about 24 bytes a row
     rows = C.written(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), unit.alias("unit")), "shard-rows")
-    sizes = rows.groupBy("unit").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("unit")
-    ends = cuts(sizes["s"].to_numpy(np.int64), shards)
-    units = sizes["unit"].to_numpy(np.int64)
+    sizes = rows.groupBy("unit").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).toArrow().sort_by("unit")  # columns, not rows: 20 bytes a unit
+    ends = cuts(sizes["s"].to_numpy(), shards)
+    units = sizes["unit"].to_numpy()
     # the first unit of the shards after the first
     first = [int(units[e]) if e < len(units) else 1 << unit_bits for e in ends[:-1]]
-    total = int(sizes["n"].sum()) if len(sizes) else 0
+    total = int(sizes["n"].to_numpy().sum())
     blocks = max(1, -(-total // ROWS_PER_BLOCK))
     shard: Column = F.lit(0)
     for x in first:
