@@ -1,12 +1,12 @@
-"""Registered queries of formatting."""
+"""Registered queries of formatting and of the views side by side."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import evidence as EV, format as FM
-from ..sources import tables as S
-from . import catalog_search as CS
+from ..sources import graph_tables as GT, tables as S
+from . import catalog_search as CS, recall as RC
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,14 @@ def fmt_conflicts(spark, d):
 @_register("fmt_ids", "SELECT p_partkey AS id, array_to_string(list_sort(list_distinct(list_transform([p_name, p_type, p_type], lambda x: CASE WHEN strlen(x) > 16 THEN substring(x, 1, 16) || '...' ELSE x END))), ',') AS ids FROM part")
 def fmt_ids(spark, d):
     return S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(FM.entity_ids(F.array("p_name", "p_type", "p_type")), ",").alias("ids"))
+
+
+@_register("mv_retrieve", f"""WITH {CS._IX}, {CS._VS}, {CS._nearest(10)}, {GT.SQL},
+nt AS (SELECT query_id, unnest(list_distinct(list_filter(string_split_regex(lower(query), '[\\t\\n\\x0B\\f\\r ]+'), lambda x: x <> ''))) AS term FROM q),
+ng AS (SELECT DISTINCT query_id, id FROM nodes JOIN nt ON type = 'Entity' AND contains(lower(name), term))
+SELECT query_id, 'text' AS view, id::VARCHAR AS id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY ix.score DESC, ix.id)::INTEGER AS rank FROM ix QUALIFY rank <= 10
+UNION ALL SELECT query_id, 'vector', id::VARCHAR, round(similarity, 6), rank::INTEGER FROM vn
+UNION ALL SELECT query_id, 'graph', id, 0.8::DOUBLE, row_number() OVER (PARTITION BY query_id ORDER BY id)::INTEGER AS r FROM ng QUALIFY r <= 10""")
+def mv_retrieve(spark, d):
+    out = RC.multi_view(S.documents(spark, d), S.vectors(spark, d), GT.nodes(spark, d), S.text_queries(spark, d), S.vector_queries(spark, d))
+    return out.withColumn("score", F.round("score", 6))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -49,8 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: an iteration's result, read again without its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/lodestone/step-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: an iteration's result, read again without its lineage. It stays until `release` or the
+    end of the program, as lazy results may read it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestone/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Deletes the tables that `written` has made so far."""
+    while _made:
+        spark, path = _made.pop()
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the session may have ended before the interpreter
+        _made.clear()
