@@ -155,12 +155,13 @@ def scored(claims: DataFrame) -> DataFrame:
 def valid_claims(claims: DataFrame, least: int = 6, most_bytes: int = 200) -> DataFrame:
     """Complete claims of 6 to 10 tenths, 200 bytes at most, not trivial; of equal ones (lower case) in a text the first."""
     line = F.concat_ws(" ", "subject", "predicate", "object")
-    fine = claims.where(
-        (F.col("subject") != "") & (F.col("object") != "") & F.col("tenths").between(least, 10) & (F.octet_length(line) <= most_bytes)
+    # a column of the row's place keeps the filter above the texts that it reads; below, each use would make them again
+    fine = claims.withColumn("__place", F.monotonically_increasing_id()).where(
+        (F.col("__place") >= 0) & (F.col("subject") != "") & (F.col("object") != "") & F.col("tenths").between(least, 10) & (F.octet_length(line) <= most_bytes)
         & (F.octet_length("subject") >= 3) & (F.octet_length("object") >= 3) & ~_holds(F.lower(line), TRIVIAL_CLAIMS)
     )
     w = Window.partitionBy("id", F.lower("subject"), F.lower("predicate"), F.lower("object")).orderBy("s_no", "c_no")
-    return fine.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return fine.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "__place")
 
 
 def claims(rows: DataFrame) -> DataFrame:

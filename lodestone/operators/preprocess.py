@@ -93,10 +93,11 @@ def _pack_sql(lengths: str, most: int, overlap: int) -> str:
 def pack_sentences(rows: DataFrame, *, most: int = MAX_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """id, content, packs: array of (a, b, kind, start, end); a and b number the sentences from 1."""
     cut = rows.select("id", "content", F.transform(sentences(F.col("content")), lambda x: F.length(x)).alias("l"))
-    packed = cut.select("id", "content", "l", F.when(F.size("l") > 0, F.expr(_pack_sql("l", most, overlap))).otherwise(F.expr("cast(array() as array<struct<a:int,b:int,kind:int>>)")).alias("p"))
-    # running ends of the sentences, once for each text
-    ends = F.expr("aggregate(l, array(0), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))")
-    return packed.select("id", "content", ends.alias("e"), "p").select("id", "content", F.expr("transform(p, x -> named_struct('a', x.a, 'b', x.b, 'kind', x.kind, 'start', e[x.a - 1], 'end', e[x.b]))").alias("packs"))
+    # every array is bound once: a generator above makes the optimizer write expressions out again, also inside lambdas
+    ends = "aggregate(v, array(0), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))"
+    spans = f"transform(array({ends}), e -> transform({_pack_sql('v', most, overlap)}, x -> named_struct('a', x.a, 'b', x.b, 'kind', x.kind, 'start', e[x.a - 1], 'end', e[x.b])))[0]"
+    none = "cast(array() as array<struct<a:int,b:int,kind:int,start:int,end:int>>)"
+    return cut.select("id", "content", F.expr(f"transform(array(l), v -> CASE WHEN size(v) > 0 THEN {spans} ELSE {none} END)[0]").alias("packs"))
 
 
 def chunk_by_sentence(rows: DataFrame, *, most: int = MAX_SIZE, overlap: int = OVERLAP) -> DataFrame:
