@@ -97,7 +97,7 @@ def cleaned(c: Column) -> Column:
 def svo_claims(sentences: DataFrame) -> DataFrame:
     """Every match of every verb group: subject before it, object after it. The sentence is parted at the verbs once for each group and
     joined again on either side of the k-th."""
-    groups = [java(rf"\b({g})\b") for g in VERB_GROUPS]
+    groups = [rf"(?<![0-9A-Za-z_])({g})(?![0-9A-Za-z_])" for g in VERB_GROUPS]  # verbs begin and end with letters, so one side each will do
     made = F.array(*[
         F.struct(F.lit(n).alias("g"), F.split("sentence", "(?i)" + p).alias("pieces"), F.regexp_extract_all("sentence", F.lit("(?i)" + p), 0).alias("verbs")) for n, p in enumerate(groups)
     ])
