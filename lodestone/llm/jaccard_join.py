@@ -23,7 +23,11 @@ from), which needs rows in proportion to the bucket; links merge documents into
 components that keep a common token. For these, order 2 is taken again over their whole sets: tokens found in one component alone
 come first, as no partner in another one can have them, then the others by exact rarity. A document with more than q(n) of the
 former is done; two of the rest meet if they keep a common token, and their sizes and the places of the token leave room for the
-overlap that a link needs. So a large group of near copies costs a star, and no link between different texts is lost.
+overlap that a link needs. So a large group of near copies costs a star, and no component is torn apart.
+
+These rounds do not look at every link inside a component. `join` counts them all afterwards: a component is dealt into blocks, and
+every two blocks meet in one task that counts the exact intersections of their sets. This takes work in proportion to the square of
+a component's representatives, as the links themselves may; `grouped` and `keep_one` need components alone and leave it out.
 
 State is Parquet in the shared folder; nothing is collected but counts. Components come from min-label propagation with pointer
 jumping over links. Shingle fingerprints may agree by chance for two different shingles of a pair with a probability of about
@@ -49,6 +53,10 @@ PERCENT = 85
 LEAST_SPARE = 48
 STAR_ROUNDS = 2
 SIEVES = 2
+#: A block of a component, where links are counted: about this many documents and tokens at most (a longer document is a block by itself).
+BLOCK_ROWS = 1_024
+BLOCK_TOKENS = 1 << 20
+TOKEN_RUN = 4_096
 
 
 def allowed_misses(n, percent: int = PERCENT):
@@ -214,8 +222,9 @@ def _linked(met: DataFrame, percent: int) -> DataFrame:
     return met.where(f"inter >= 0 AND 100 * inter >= {percent} * (both - inter)").select("a", "b")
 
 
-def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (verified links of the document's set with other sets), one row per row."""
+def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Scratch tables: signatures of all rows; (doc_id, rep) of every doc_id; (node, label) and (doc_id, s) of the representatives that can
+    have a link."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = C.written(signatures(source, shingle=shingle), "signatures")
@@ -239,11 +248,74 @@ def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, id_
         met = found if met is None else met.unionByName(found)
         if _linked(found, percent).limit(1).count():
             labels = components(_linked(found, percent), labels)
-    links = _linked(met, percent)
-    linked = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("n_links"))
     known = signed.select("doc_id").where("doc_id IS NOT NULL").distinct().join(equal, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    placed = known.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(linked, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component_id"), F.max("n_links").alias("n_links"))
-    return signed.join(placed, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed, known, labels, sets
+
+
+def _placed(signed: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    placed = known.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "rep")).alias("component_id"))
+    return signed.join(placed, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def grouped(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per row: what `join` says without its count of links."""
+    signed, known, labels, _ = _grouped(docs, shingle, percent, id_col, text_col)
+    return _placed(signed, known, labels)
+
+
+def join(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (links of the document's set with other sets, all counted), one row per row."""
+    signed, known, labels, sets = _grouped(docs, shingle, percent, id_col, text_col)
+    linked = known.join(_link_counts(labels, sets, percent, block_rows), "rep").groupBy("doc_id").agg(F.max("n_links").alias("n_links"))
+    return _placed(signed, known, labels).join(linked, "doc_id", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _link_counts(labels: DataFrame, sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """(rep, n_links): all links of a representative. A link lies inside a component, so each component is dealt into blocks by a hash
+    and every two blocks of it (and each with itself) meet in one task, where the exact intersections are counted."""
+    held = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id").select("label", "doc_id", "s")
+    size = held.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum(F.size("s")).alias("tokens")).where("m > 1")
+    size = size.select("label", F.expr(f"cast(ceil(greatest(m / {block_rows}D, tokens / {BLOCK_TOKENS}D)) as int)").alias("blocks"))
+    dealt = held.join(size, "label").select("label", "doc_id", "s", "blocks", F.expr("cast(pmod(xxhash64(doc_id, 'block'), blocks) as int)").alias("own"))
+    met = dealt.select("label", "doc_id", "s", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    met = met.select("label", "doc_id", "s", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def count(group: pa.Table) -> pa.Table:
+        ids, own, i, j = (group.column(c).to_numpy() for c in ("doc_id", "own", "i", "j"))
+        rows = group.column("s").combine_chunks()
+        n = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        left = np.flatnonzero(own == i[0])
+        right = left if i[0] == j[0] else np.flatnonzero(own == j[0])
+        inter = _intersections(rows.flatten().to_numpy(), n, left, right)
+        link = (100 * inter >= percent * (n[left][:, None] + n[right][None, :] - inter)) & (ids[left][:, None] != ids[right][None, :])
+        a, b = np.nonzero(link)
+        # a repeated doc_id is one document
+        pairs = np.unique(np.stack([ids[left][a], ids[right][b]], 1), axis=0) if len(set(ids.tolist())) < len(ids) else np.stack([ids[left][a], ids[right][b]], 1)
+        ends = pairs[:, 0] if i[0] == j[0] else pairs.ravel()
+        who, many = np.unique(ends, return_counts=True)
+        return pa.table({"rep": pa.array(who, pa.int64()), "n": pa.array(many, pa.int64())})
+
+    return met.groupBy("label", "i", "j").applyInArrow(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
+def _intersections(tokens: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens the sets left x right share, by products of 0/1 matrices over runs of tokens; sets of n tokens each stand in `tokens`."""
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(tokens, kind="stable")
+    tokens, row = tokens[order], row[order]
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, bool)
+    column = np.cumsum(new) - 1
+    common = np.bincount(column)[column] > 1  # a token of one set is in no intersection
+    row, new = row[common], new[common]
+    column = np.cumsum(new) - 1
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, TOKEN_RUN):
+        a, b = np.searchsorted(column, (at, at + TOKEN_RUN))
+        x = np.zeros((len(n), int(column[b - 1]) - at + 1), np.float32)
+        x[row[a:b], column[a:b] - at] = 1
+        out += (x[left] @ x[right].T).astype(np.int64)
+    return out
 
 
 def _small(ids: DataFrame, most: int = 4_000_000) -> DataFrame:
@@ -296,13 +368,17 @@ def _pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, met: DataFram
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents whose doc_id is the least of their component, and those with a null doc_id; all columns kept."""
-    found = join(docs, **options)
+    found = grouped(docs, **options)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(C.table(spark, sf_dir, "documents")).drop("n_links")
+    return grouped(C.table(spark, sf_dir, "documents"))
+
+
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join(C.table(spark, sf_dir, "documents"))
 
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_cascade": quality_cascade.query,
     "op4_piece_codec": piece_codec.query,
     "op5_jaccard_join": jaccard_join.query,
+    "op5_jaccard_links": jaccard_join.links_query,
     "op6_toxicity_fm": toxicity_fm.query,
     "op7_warc_revisit": warc_revisit.query,
     "op8_minimax_shards": minimax_shards.query,

@@ -280,6 +280,35 @@ def test_near_copies_odd(odd, empty):
     assert JJ.join(empty).count() == 0 and JJ.keep_one(empty).count() == 0
 
 
+def brute_links(rows, k, percent):
+    """Links of each document's set with other sets."""
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = frozenset(tuple(w[a : a + k]) for a in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    different = set(sets.values()) - {frozenset()}
+    return {i: sum(100 * len(s & x) >= percent * len(s | x) for x in different if x != s) if s else 0 for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block_rows", [JJ.BLOCK_ROWS, 16])
+def test_every_link_is_counted(spark, block_rows):
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for _ in range(120):  # near copies of one text, some of them linked only through others
+        w = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 4))):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**9)}"
+        rows.append(" ".join(w))
+    rows += [" ".join([f"s{i + shift}" for i in range(40)]) for shift in range(12)] + ["", "alone", "two words", "two words"]
+    rows = list(enumerate(rows))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows, 4, 85)
+    assert max(want.values()) > 60
+    got = JJ.join(table.unionByName(table.limit(30)).repartition(5), block_rows=block_rows).collect()
+    assert len(got) == len(rows) + 30 and {r.doc_id: r.n_links for r in got} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85)
+
+
 def test_prefix_lengths():
     n = np.arange(1, 5000)
     for p in (80, 85):
