@@ -2,8 +2,8 @@ r"""Toxicity by a sparse factorization machine over hashed terms.
 
 Terms are the words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z and their beginnings of 4 to 8 bytes (an insult
 keeps its stem when it is inflected or compounded), hashed into 2**40 buckets; a text is the set of its terms. The logit is w0 + sum w_i + sum over pairs <v_i, v_j>, so a pair of terms can weigh what neither does alone. A
-proximal step (L1 on w, group lasso on each v_i) leaves only terms that tell the classes apart, so thousands of neutral words in
-a very long text add nothing, and the model that goes to the executors has at most ``max_terms`` terms (80 bytes each).
+proximal step (L1 on w, group lasso on each v_i) leaves terms that tell the classes apart, alone or beside others. All inputs that at
+least 5 texts of the sample have are fitted, so the model that goes to the executors (80 bytes an input) is bounded by the sample.
 
 Learning uses rows of `labels` for which crc32(doc_id as text) mod 5 is not 0, at most about ``max_rows`` of them, half of each
 class, drawn by a hash of doc_id (the sample's bound is the only thing that does not grow with the input), and the text of those
@@ -27,7 +27,7 @@ from . import common as C
 from .language_id import held_out
 
 MAX_ROWS = 4_000
-MAX_TERMS = 4_000
+FIRST_TERMS = 4_000
 FACTORS = 8
 RATE, SPARSITY = 0.03, 5e-4
 #: An input is a bucket and a level: the bucket's words number at least that many in the text.
@@ -57,20 +57,22 @@ def _levels(buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Model:
-    def __init__(self, rows: list[np.ndarray] | None = None, y: np.ndarray | None = None, rate: float = 0.5, *, epochs: int = 40, max_terms: int = MAX_TERMS, seed: int = 11):
+    def __init__(self, rows: list[np.ndarray] | None = None, y: np.ndarray | None = None, rate: float = 0.5, *, epochs: int = 40, seed: int = 11):
         self.keys = np.empty(0, np.uint64)
         self.w, self.v = np.empty(0), np.empty((0, FACTORS))
         self.b = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
         if rows and len(set(y.tolist())) == 2:
-            self._learn(rows, y, rate, epochs, max_terms, seed)
+            self._learn(rows, y, rate, epochs, seed)
         self._index()
 
     def _index(self) -> None:
         self.bits = np.zeros(1 << 16, bool)
         self.bits[(self.keys >> np.uint64(2)) & np.uint64(0xFFFF)] = True
 
-    def _learn(self, rows, y, rate, epochs, max_terms, seed) -> None:
-        """Screens the inputs by the difference of their class frequencies, then fits by Adagrad with proximal steps."""
+    def _learn(self, rows, y, rate, epochs, seed) -> None:
+        """Fits by Adagrad with proximal steps: first the FIRST_TERMS inputs that differ most between the classes, then, from there, all
+        inputs that are seen often enough. What the first explain leaves nothing to fit for chance differences of the others, and an
+        input that tells nothing alone can still be found beside another one."""
         rng = np.random.default_rng(seed)
         keys, which = np.unique(np.concatenate(rows), return_inverse=True)
         doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
@@ -80,14 +82,27 @@ class Model:
         p1, p0 = (in_one + 0.5) / (ones + 1), (seen - in_one + 0.5) / (zeros + 1)
         z = np.abs(p1 - p0) / np.sqrt(p1 * (1 - p1) / (ones + 1) + p0 * (1 - p0) / (zeros + 1))
         often = np.flatnonzero(seen >= 5)  # an input of a few texts of the sample cannot be told from noise
-        keys = keys[np.sort(often[np.argsort(-z[often], kind="stable")[:max_terms]])]
-        idx = [np.searchsorted(keys, x[np.isin(x, keys, assume_unique=True)]) for x in rows]
+        keys, z = keys[often], z[often]
+        first = np.sort(np.argsort(-z, kind="stable")[:FIRST_TERMS])
         weight = np.where(y > 0, rate * len(y) / ones, (1 - rate) * len(y) / zeros)
         d = len(keys)
-        w, v, b = np.zeros(d), rng.normal(0, 0.01, (d, FACTORS)), self.b
-        sw, sv, sb = np.full(d, 1e-3), np.full(d, 1e-3), 1e-2  # sums of squared gradients
+        w, v = np.zeros(d), np.zeros((d, FACTORS))
+        sw, sv = np.full(d, 1e-3), np.full(d, 1e-3)  # sums of squared gradients
+        sb = 1e-2
+        v[first] = rng.normal(0, 0.01, (len(first), FACTORS))
+        for own in [first] if len(first) == d else [first, np.arange(d)]:
+            if len(own) > len(first):
+                rest = np.setdiff1d(own, first)
+                v[rest] = rng.normal(0, 0.01, (len(rest), FACTORS))
+            idx = [np.searchsorted(keys[own], x[np.isin(x, keys[own], assume_unique=True)]) for x in rows]
+            w[own], v[own], sw[own], sv[own], sb = self._descend(idx, y, weight, w[own], v[own], sw[own], sv[own], sb, epochs, rng)
+        used = np.flatnonzero((w != 0) | (np.square(v).sum(1) > 1e-6))
+        self.keys, self.w, self.v = keys[used], w[used], v[used]
+
+    def _descend(self, idx, y, weight, w, v, sw, sv, sb, epochs, rng):
+        d, b = len(w), self.b
         for _ in range(epochs):
-            for take in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 128)):
+            for take in np.array_split(rng.permutation(len(idx)), max(1, len(idx) // 128)):
                 flat = np.concatenate([idx[i] for i in take])
                 own = np.repeat(np.arange(len(take)), [len(idx[i]) for i in take])
                 total = np.stack([np.bincount(own, v[flat, f], len(take)) for f in range(FACTORS)], 1)
@@ -105,8 +120,8 @@ class Model:
                 w = np.sign(w) * np.maximum(np.abs(w) - rw * SPARSITY, 0)
                 v -= rv[:, None] * gv
                 v *= np.maximum(1 - rv * SPARSITY / np.maximum(np.sqrt(np.square(v).sum(1)), 1e-12), 0)[:, None]
-        used = np.flatnonzero((w != 0) | (np.square(v).sum(1) > 1e-6))
-        self.keys, self.w, self.v, self.b = keys[used], w[used], v[used], float(b)
+        self.b = float(b)
+        return w, v, sw, sv, sb
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1

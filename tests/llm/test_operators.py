@@ -350,6 +350,20 @@ def test_pairs_tell_what_words_do_not():
     assert 1 in at and 2 in at and m.v[at[1]] @ m.v[at[2]] > 0.5
 
 
+def test_pair_among_many_neutral_inputs():
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for i in range(2400):
+        a, b = i % 2, i // 2 % 2  # as common in either class, each alone
+        rows.append(np.unique(np.concatenate([rng.integers(10, 20_010, 80), [1] if a else [], [2] if b else []])).astype(np.uint64) * np.uint64(4))
+        y.append(float(a == b))
+    keys, seen = np.unique(np.concatenate(rows), return_counts=True)
+    assert (seen >= 5).sum() > 15_000
+    m = TX.Model(rows, np.array(y), 0.5)
+    at = {int(k) // 4: i for i, k in enumerate(m.keys)}
+    assert 1 in at and 2 in at and m.v[at[1]] @ m.v[at[2]] > 0.5
+
+
 # ---------------------------------------------------------------- 7
 
 
