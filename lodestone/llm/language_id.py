@@ -196,7 +196,7 @@ class Model:
         score = np.zeros((n, len(self.langs)))
         best = family.argmax(1)
         for f, own in enumerate(self.members):
-            share = within[:, own] / max(len(own) * (len(own) - 1) / 2, 1) if len(own) > 1 else np.ones((n, 1))
+            share = within[:, own] / (len(own) - 1) if len(own) > 1 else np.ones((n, 1))
             score[:, own] = np.where(best == f, family[:, f], -1)[:, None] * share
             if len(own) == 1:
                 score[best != f, own[0]] = -1

@@ -157,6 +157,19 @@ def test_language(spark, docs, odd, empty):
     assert {(r.lang_pred, r.score) for r in LI.predict(docs, one).collect()} <= {("fr", 1.0), ("und", 0.0)}
 
 
+def test_family_of_five_languages_stays(spark):
+    rng = random.Random(4)
+    words = {c: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(80)] for c, letters in (("en", "abcdef"), ("de", "ghijkl"), ("nl", "mnopqr"), ("sv", "stuvwx"), ("da", "yzacegi"), ("fr", "bdfhjln"))}
+    rows = [(k, " ".join(rng.choices(words[c], k=60)), c) for k, c in enumerate(list(words) * 60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = LI.fit(table)
+    assert sorted(map(len, model.members)) == [1, 5]
+    got = LI.predict(table, model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {k: c for k, _, c in rows}
+    assert min(r.score for r in got) > LI.KEEP_SCORE and max(r.score for r in got) <= 1
+    assert LI.keep(table, model=model).count() == len(rows)
+
+
 # ---------------------------------------------------------------- 3
 
 
