@@ -53,6 +53,12 @@ PERCENT = 85
 LEAST_SPARE = 48
 STAR_ROUNDS = 2
 SIEVES = 2
+#: Where documents would meet more partners than this in their buckets, on average, the buckets over so many documents get a centre; and
+#: again, up to so many times, while they shrink and the average is 16 times as high each time, as differences from a second centre are
+#: longer. Such a meeting compares places in the join; few of them become pairs.
+PARTNERS = 1_000
+SMALL_BUCKET = 32
+LEVELS = 6
 #: A block of a component, where links are counted: about this many documents and tokens at most (a longer document is a block by itself).
 BLOCK_ROWS = 1_024
 BLOCK_TOKENS = 1 << 20
@@ -157,13 +163,17 @@ def _prefixes(docs: DataFrame, shingle: int, percent: int, counting: bool) -> Da
     return _mapped(docs, "c int" if counting else "c int, t long, doc_id long, n int", rows)
 
 
-def _token_sets(docs: DataFrame, shingle: int) -> DataFrame:
+def _token_sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, s, tail): the set in the order of fingerprints, and its prefix under order 3, the last q + 1 of them."""
+
     def rows(_, ids, buf, offsets):
         sets = list(_sets(buf, offsets, shingle))
-        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-        return pa.RecordBatch.from_arrays([ids, C.ragged(flat.view(np.int64), np.array([len(s) for s in sets], np.int64), pa.int64())], names=["doc_id", "s"])
+        tails = [s[len(s) - min(len(s), allowed_misses(len(s), percent) + 1) :] for s in sets]
+        flat, ends = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (sets, tails))
+        counts = [np.array([len(s) for s in x], np.int64) for x in (sets, tails)]
+        return pa.RecordBatch.from_arrays([ids, C.ragged(flat.view(np.int64), counts[0], pa.int64()), C.ragged(ends.view(np.int64), counts[1], pa.int64())], names=["doc_id", "s", "tail"])
 
-    return _mapped(docs, "doc_id long, s array<long>", rows)
+    return _mapped(docs, "doc_id long, s array<long>, tail array<long>", rows)
 
 
 def kept_tokens(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -205,21 +215,26 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with both, meets, inter: the sizes' sum, order 3, and the exact intersection where order 3 lets the pair pass."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with both, inter: the sizes' sum and the exact intersection."""
     x = sets.join(_small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("s").alias("x"))
     y = sets.join(_small(pairs.select(F.col("b").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
     joined = pairs.join(y, "b").join(x, "a")
+    return C.written(joined.select("a", "b", F.expr("size(x) + size(y)").alias("both"), F.expr("size(array_intersect(x, y))").alias("inter")), "met")
 
-    def tail(s: str) -> str:
-        return f"slice({s}, -least(size({s}), size({s}) - cast(ceil({percent} * size({s}) / 100D) as int) + 1), size({s}))"
 
-    meets = f"arrays_overlap({tail('x')}, {tail('y')})"
-    return joined.select("a", "b", F.expr("size(x) + size(y)").alias("both"), F.expr(f"CASE WHEN {meets} THEN size(array_intersect(x, y)) ELSE -1 END").alias("inter"))
+def _linked(met: DataFrame, percent: int) -> DataFrame:
+    return met.where(f"100 * inter >= {percent} * (both - inter)").select("a", "b")
 
 
-def _linked(met: DataFrame, percent: int) -> DataFrame:
-    return met.where(f"inter >= 0 AND 100 * inter >= {percent} * (both - inter)").select("a", "b")
+def _left(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What is left of the documents of open buckets when order 2 is taken over their whole sets."""
+    rows = _open(buckets, labels)
+    for _ in range(SIEVES):  # who dropped out is nobody's partner, so its tokens count no more
+        fewer = _sieved(_whole(rows.select("doc_id", "label").distinct(), sets), percent)
+        C.dropped(rows)
+        rows = fewer
+    return rows
 
 
 def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -229,25 +244,56 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = C.written(signatures(source, shingle=shingle), "signatures")
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    equal = C.written(signed.where("n > 0 AND doc_id IS NOT NULL").join(classes.where("copies > 1"), ["hi", "lo"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "equal")
+    # written, so that the join deals both sides out itself and a hot class can be split there
+    classes = C.written(classes.where("copies > 1"), "classes")
+    equal = C.written(signed.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["hi", "lo"]).select("doc_id", "rep").where("doc_id <> rep").distinct(), "equal")
     # a bucket holds representatives
     kept = kept_tokens(source, shingle=shingle, percent=percent)
     kept = kept.join(equal, "doc_id", "left").select("t", F.coalesce("rep", "doc_id").alias("doc_id"), "n", "share").distinct()
     kept = C.written(kept, "kept")
-    shared = kept.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t")
+    shared = C.written(kept.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t"), "shared")
     buckets = C.written(kept.join(shared, "t"), "buckets")
-    C.dropped(kept)
+    C.dropped(kept, shared)
     members = buckets.select("doc_id").distinct()
-    sets = C.written(_token_sets(source.join(_small(members), "doc_id", "left_semi"), shingle), "sets")
+    sets = C.written(_token_sets(source.join(_small(members), "doc_id", "left_semi"), shingle, percent), "sets")
     labels = C.written(members.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), "labels")
     met: DataFrame | None = None  # every pair that was verified
-    for turn in range(STAR_ROUNDS + 1):
-        pairs = C.written(_pairs(buckets, labels, sets, met, percent, turn), "pairs")
-        found = C.written(_verified(pairs, sets, percent), "met")
-        C.dropped(pairs)
+
+    def meet(pairs: DataFrame | None, found: DataFrame | None = None) -> None:
+        nonlocal met, labels
+        if found is None:
+            pairs = _fresh(pairs, met, sets, percent)
+            found = _verified(pairs, sets)
+            C.dropped(pairs)
         met = found if met is None else met.unionByName(found)
         if _linked(found, percent).limit(1).count():
             labels = components(_linked(found, percent), labels)
+
+    for turn in range(STAR_ROUNDS):
+        meet(_starred(buckets, labels, turn))
+    rows, before = _left(buckets, labels, sets, percent), None
+    for level in range(LEVELS):
+        sizes = rows.groupBy("c", "t").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("u"), F.max("label").alias("v")).where("u <> v").select("c", "t", "m")
+        sized = C.written(rows.join(C.written(sizes, "sizes"), ["c", "t"]), "sized")
+        C.dropped(rows)
+        large = sized.where(F.col("m") > SMALL_BUCKET)
+        meetings, members = large.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count_distinct("doc_id")).first()
+        if meetings > (PARTNERS << 4 * level) * members and (before is None or 10 * meetings <= 9 * before):
+            meet(_met_in(sized.where(F.col("m") <= SMALL_BUCKET), percent))
+            # the document that stands in most of these buckets is the centre wherever it stands
+            often = large.groupBy("doc_id").agg(F.count(F.lit(1)).alias("often"))
+            centres = C.written(large.join(often, "doc_id").groupBy("c", "t").agg(F.max_by("doc_id", F.struct("often", "doc_id")).alias("z")), "centres")
+            members = large.join(centres, ["c", "t"]).where("doc_id <> z").select(F.col("z").alias("c"), "doc_id").distinct()
+            apart = _differences(members, sets)
+            meet(None, apart.selectExpr("c AS a", "doc_id AS b", "n + nc AS both", "cast((n + nc - x) / 2 AS int) AS inter"))
+            tokens = apart.join(labels.withColumnRenamed("node", "doc_id"), "doc_id").select("c", "nc", "doc_id", "n", "x", "label", F.explode("e").alias("t"))
+            rows, before = _sieved(tokens, percent), meetings
+            C.dropped(sized)
+        else:
+            meet(_met_in(sized, percent))
+            break
+    else:
+        meet(_met_in(rows, percent))
     known = signed.select("doc_id").where("doc_id IS NOT NULL").distinct().join(equal, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     return signed, known, labels, sets
 
@@ -318,52 +364,84 @@ def _intersections(tokens: np.ndarray, n: np.ndarray, left: np.ndarray, right: n
     return out
 
 
-def _small(ids: DataFrame, most: int = 4_000_000) -> DataFrame:
+def _small(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A broadcast of ids while they are few (8 bytes each); beyond that they are joined by a shuffle."""
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
-def _sieved(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(t, doc_id, n, place, label): what documents of still open buckets keep when order 2 is taken over their whole sets, and the
-    place of each token in that order. Tokens that stand in one component only cannot be shared with a partner in another: they come
-    first in the order and leave. A document with more than q(n) of them has no such partner and drops out."""
-    tokens = sets.join(_small(open_.select("doc_id")), "doc_id", "left_semi").join(open_, "doc_id").select("doc_id", "label", F.size("s").alias("n"), F.explode("s").alias("t"))
-    across = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t", "m")
-    mine = tokens.join(across, "t").groupBy("doc_id", "n", "label").agg(F.array_sort(F.collect_list(F.struct("m", "t"))).alias("x"))
-    keep = F.expr(f"n - cast(ceil({percent} * n / 100D) as int) + 1 - (n - size(x))")
-    kept = mine.select("doc_id", "n", "label", F.size("x").alias("able"), keep.alias("k"), "x").where("k > 0")
-    rows = kept.select("doc_id", "n", "able", "label", F.posexplode(F.slice("x", F.lit(1), F.col("k"))).alias("i", "e"))
-    return C.written(rows.select(F.col("e.t").alias("t"), "doc_id", "n", (F.col("n") - F.col("able") + F.col("i") + 1).alias("place"), "label"), "sieved")
-
-
-def _pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, met: DataFrame | None, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) to verify in this round: stars around a centre of each bucket, at last all that are left."""
-    rows = buckets if turn == 0 else buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id")
-    if turn:
-        # buckets that lie in one component are done
-        open_ = rows.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t")
-        rows = rows.join(open_, "t")
-    apart = "TRUE" if turn == 0 else "label <> c.label"
-    if turn < STAR_ROUNDS:
-        order = F.struct("share", "n", "doc_id") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), "n", "doc_id")
-        fields = [F.col("doc_id"), F.col("n")] + ([F.col("label")] if turn else [])
-        centre = rows.groupBy("t").agg(F.max_by(F.struct(*fields), order).alias("c"))
-        pairs = rows.join(centre, "t").where(f"doc_id <> c.doc_id AND {apart}").selectExpr("c.doc_id AS a", "doc_id AS b", "c.n AS na", "n AS nb")
-    else:
-        left = _sieved(rows.select("doc_id", "label").distinct(), sets, percent)
-        for _ in range(SIEVES - 1):  # who dropped out is nobody's partner, so its tokens count no more
-            fewer = _sieved(left.select("doc_id", "label").distinct(), sets, percent)
-            C.dropped(left)
-            left = fewer
-        other = left.selectExpr("t", "doc_id AS b", "n AS nb", "place AS pb", "label AS lb")
-        # at the first common token no more can be common than what follows in either; later tokens need not bring the pair again
-        enough = f"(100 + {percent}) * (1 + least(n - place, nb - pb)) >= {percent} * (n + nb)"
-        pairs = left.join(other, "t").where(f"doc_id < b AND label <> lb AND 100 * n >= {percent} * nb AND 100 * nb >= {percent} * n AND {enough}").selectExpr("doc_id AS a", "b", "n AS na", "nb")
+def _sieved(tokens: DataFrame, percent: int) -> DataFrame:
+    """(c, t, doc_id, n, x, place, label): what documents keep when order 2 is taken over their differences from a centre c, and the
+    place of each token in that order. tokens: (c, nc, doc_id, n, x, label, t), a row for each of the x tokens that stand in one of
+    document (n tokens) and centre (nc tokens; 0 for the empty centre, where the differences are the set itself).
+
+    Two documents a, b link if their differences share o = (x_a + x_b - h (n_a + n_b)) / 2 tokens, h = (100 - p) / (100 + p). Partners
+    lie in different components, so one of them at most is linked to the centre; with that, the least o that any partner leaves
+    follows from x, n and nc alone, and x - o + 1 tokens are the prefix. Tokens that stand in one component only cannot be shared with
+    a partner in another: they come first in the order and leave. A document with too many of them has no partner and drops out."""
+    across = tokens.groupBy("c", "t").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("u"), F.max("label").alias("v")).where("u <> v").select("c", "t", "m")
+    across = C.written(across, "across")  # so that the join deals both sides out itself and a hot token can be split there
+    mine = tokens.join(across, ["c", "t"]).groupBy("c", "nc", "doc_id", "n", "x", "label").agg(F.array_sort(F.collect_list(F.struct("m", "t"))).alias("able"))
+    more, less = 100 + percent, 100 - percent
+    linked = f"{more} * x <= {less} * (n + nc)"
+    least = f"""greatest(1, x - cast(floor({less} * n / {percent}D) as int), cast(ceil(({more} * x - {less} * (n + nc)) / 200D) as int),
+        CASE WHEN {linked} THEN cast(floor(({more} * x - {less} * (n - nc)) / {2 * more}D) as int) + 1 ELSE 1 END)"""
+    kept = mine.withColumn("k", F.expr(f"size(able) + 1 - ({least})")).where("k > 0")
+    rows = kept.select("c", "doc_id", "n", "x", "label", F.size("able").alias("many"), F.posexplode(F.slice("able", F.lit(1), F.col("k"))).alias("i", "e"))
+    return C.written(rows.select("c", F.col("e.t").alias("t"), "doc_id", "n", "x", (F.col("x") - F.col("many") + F.col("i") + 1).alias("place"), "label"), "sieved")
+
+
+def _whole(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Documents (doc_id, label) as differences from the empty centre."""
+    own = sets.join(_small(open_.select("doc_id")), "doc_id", "left_semi").join(open_, "doc_id")
+    return own.select(F.lit(0).cast("long").alias("c"), F.lit(0).alias("nc"), "doc_id", F.size("s").alias("n"), F.size("s").alias("x"), "label", F.explode("s").alias("t"))
+
+
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, nc, doc_id, n, x, e) of (c, doc_id): the x tokens e that stand in one of document and centre."""
+    centres = sets.join(members.select(F.col("c").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("c"), F.col("s").alias("z"))
+    rows = members.join(sets.select("doc_id", "s"), "doc_id").join(centres, "c")
+    rows = rows.select("c", F.size("z").alias("nc"), "doc_id", F.size("s").alias("n"), F.expr("concat(array_except(s, z), array_except(z, s))").alias("e"))
+    return C.written(rows.select("c", "nc", "doc_id", "n", F.size("e").alias("x"), "e"), "differences")
+
+
+def _fresh(pairs: DataFrame, met: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that were not met before, whose sizes can link and that also share a token under order 3. Only the few
+    tokens of that prefix travel here."""
     pairs = pairs.where(f"100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")
     pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
     if met is not None:
         pairs = pairs.join(met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
-    return pairs.select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b"))
+    pairs = pairs.select("a", (F.col("lo") + F.col("hi") - F.col("a")).alias("b"))
+    last = sets.select("doc_id", "tail")
+    met3 = pairs.join(last.withColumnsRenamed({"doc_id": "a", "tail": "ta"}), "a").join(last.withColumnsRenamed({"doc_id": "b", "tail": "tb"}), "b")
+    return C.written(met3.where("arrays_overlap(ta, tb)").select("a", "b"), "pairs")
+
+
+def _starred(buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of each document with a centre of its bucket."""
+    rows = buckets if turn == 0 else _open(buckets, labels)
+    order = F.struct("share", "n", "doc_id") if turn == 0 else F.struct(F.xxhash64("doc_id", F.lit(turn)), "n", "doc_id")
+    fields = [F.col("doc_id"), F.col("n")] + ([F.col("label")] if turn else [])
+    centre = C.written(rows.groupBy("t").agg(F.max_by(F.struct(*fields), order).alias("c")), "centres")
+    apart = "label <> c.label" if turn else "TRUE"
+    return rows.join(centre, "t").where(f"doc_id <> c.doc_id AND {apart}").selectExpr("c.doc_id AS a", "doc_id AS b", "c.n AS na", "n AS nb")
+
+
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their labels, without the buckets that lie in one component."""
+    rows = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id")
+    open_ = C.written(rows.groupBy("t").agg(F.min("label").alias("u"), F.max("label").alias("v")).where("u <> v").select("t"), "open")
+    return rows.join(open_, "t")
+
+
+def _met_in(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of rows of a bucket whose places leave room for the overlap that a link needs. At the first common token no
+    more can be common than what follows in either; later tokens need not bring the pair again."""
+    other = rows.selectExpr("c", "t", "doc_id AS b", "n AS nb", "x AS xb", "place AS pb", "label AS lb")
+    more, less = 100 + percent, 100 - percent
+    enough = f"{2 * more} * (1 + least(x - place, xb - pb)) >= {more} * (x + xb) - {less} * (n + nb)"
+    sized = f"100 * n >= {percent} * nb AND 100 * nb >= {percent} * n"
+    return rows.join(other, ["c", "t"]).where(f"doc_id < b AND label <> lb AND {sized} AND {enough}").selectExpr("doc_id AS a", "b", "n AS na", "nb")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
