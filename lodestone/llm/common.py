@@ -1,7 +1,8 @@
 """Pieces that several corpus operators share: scratch tables, column checks and vectorised word fingerprints.
 
-Scratch tables are Parquet files under ``spark.checkpoint.dir`` (shared by the driver and all executors), so a lost
-executor never loses them. A folder of our own is set only where that setting is absent, as in local tests.
+Scratch tables are Parquet files under ``spark.checkpoint.dir`` (shared by the driver and all executors), or under the folder that
+``setCheckpointDir`` named, so a lost executor never loses them. Where there is neither, a folder of our own is made on a local
+master, as in tests; on any other master that is an error.
 
 Fingerprints are 64-bit polynomial hashes over bytes, finished with a bijective mixer. Two different words (or word
 windows) share one with probability about 2**-64 per pair; where a method needs more, it uses two of them.
@@ -10,6 +11,7 @@ windows) share one with probability about 2**-64 per pair; where a method needs
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,6 +26,11 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            return named.get().rstrip("/")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
