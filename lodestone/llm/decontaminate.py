@@ -5,8 +5,9 @@ of fewer words, but not none, is one window. A document word inside any occurren
 set is verified word by word before it counts.
 
 Size check: the windows go to the executors as one broadcast while they are at most ``max_broadcast_windows`` (about 120 bytes
-each). A larger benchmark is scanned in blocks of that many windows, one pass over the documents for each, and the blocks'
-spans meet by document; so no broadcast outgrows the bound and no window is left out.
+each). A larger benchmark is scanned in blocks of that many windows: every input row gets a key (rows and keys are written once),
+each block's hits are written before the next block is made and broadcast, and the blocks' spans meet by that key. So one broadcast
+lives at a time, none outgrows the bound, no window is left out, and repeated rows and null ids stay rows of their own.
 
 Edge cases: null or empty text has no words, no hits and is clean; an item with null or wordless text has no window; a null
 item_id counts as the empty string; repeated items count once for each distinct id; an empty benchmark leaves every document
@@ -16,12 +17,14 @@ clean; further columns of the inputs are not read by `scan` and pass through `de
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import common as C
 
@@ -88,15 +91,19 @@ class _Index:
         return np.cumsum(cover[:-1]) > 0, items
 
 
-def _scan(docs: DataFrame, index: _Index, id_col: str, text_col: str) -> DataFrame:
-    """doc id, n_words, hit word spans (starts, ends as word numbers), the byte spans of those words, item ids."""
-    C.small_batches(docs.sparkSession)
-    handle = docs.sparkSession.sparkContext.broadcast(index)
+_SPANS = ("word_from", "word_to", "byte_from", "byte_to")
+_FOUND = f"n_words long, {', '.join(f'{c} array<int>' for c in _SPANS)}, items array<string>"
+
+
+def _scan(source: DataFrame, handle) -> DataFrame:
+    """source: key (of any type, handed through), text. key, n_words, hit word spans (starts, ends as word numbers), the byte spans of
+    those words, item ids. handle: a broadcast index."""
+    C.small_batches(source.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = handle.value
         for batch in batches:
-            texts, ids = C.as_array(batch, "text"), C.as_array(batch, "doc_id")
+            texts, keys = C.as_array(batch, "text"), C.as_array(batch, "key")
             for a, b, buf, offsets in C.segments(texts):
                 w = C.Words(buf, offsets, C.ALNUM)
                 hit, items = index.hits(w)
@@ -113,17 +120,45 @@ def _scan(docs: DataFrame, index: _Index, id_col: str, text_col: str) -> DataFra
                         s, d = stop, d + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(a, rows),
+                        keys.slice(a, rows),
                         pa.array(np.diff(w.first).astype(np.int64)),
                         *(pa.array([[x[k] for x in c] for c in cut], pa.list_(pa.int32())) for k in range(4)),
                         pa.array([sorted(index.items[i] for i in items.get(d, ())) for d in range(rows)], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "word_from", "word_to", "byte_from", "byte_to", "items"],
+                    names=["key", "n_words", *_SPANS, "items"],
                 )
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_words long, word_from array<int>, word_to array<int>, byte_from array<int>, byte_to array<int>, items array<string>")
+    kind = source.schema["key"]
+    return source.mapInArrow(run, StructType([StructField("key", kind.dataType, kind.nullable), *StructType.fromDDL(_FOUND).fields]))
+
+
+def _found(source: DataFrame, blocks: Iterator[_Index]) -> DataFrame:
+    """`_scan` over all blocks, one row for each row of source(key, text)."""
+    share = source.sparkSession.sparkContext.broadcast
+    first = next(blocks, None)
+    second = next(blocks, None) if first is not None else None
+    if second is None:
+        return _scan(source, share(first if first is not None else _Index({})))
+    # not deleted here: what is returned reads them
+    rows = C.written(source.select(F.monotonically_increasing_id().alias("row"), "key", "text"), "benchmark-rows")
+    keyed, merged = rows.select(F.col("row").alias("key"), "text"), None
+    for index in itertools.chain([first, second], blocks):
+        handle = share(index)
+        one = _scan(keyed, handle)
+        # the first block tells n_words of every row; of the others only hits matter
+        one = C.written(one if merged is None else one.where(F.size("items") > 0), "benchmark-hits")
+        merged = one if merged is None else merged.unionByName(one)
+        handle.unpersist()
+    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*_SPANS))))
+    empty = "cast(array() as array<struct<word_from:int,word_to:int,byte_from:int,byte_to:int>>)"
+    folded = F.expr(
+        f"""aggregate(s, {empty}, (acc, x) -> case when size(acc) > 0 and x.word_from <= element_at(acc, -1).word_to
+        then concat(slice(acc, 1, size(acc) - 1), array(named_struct('word_from', element_at(acc, -1).word_from, 'word_to', greatest(element_at(acc, -1).word_to, x.word_to),
+        'byte_from', element_at(acc, -1).byte_from, 'byte_to', greatest(element_at(acc, -1).byte_to, x.byte_to)))) else concat(acc, array(x)) end)"""
+    )
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    met = merged.groupBy(F.col("key").alias("row")).agg(F.max("n_words").alias("n_words"), spans.alias("s"), items.alias("items")).withColumn("s", folded)
+    return rows.select("row", "key").join(met, "row").select("key", "n_words", *(F.col(f"s.{c}").alias(c) for c in _SPANS), "items")
 
 
 def _clean_rows(docs: DataFrame, index: _Index) -> DataFrame:
@@ -157,24 +192,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, most: in
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, ngram: int = NGRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, n_words, hit spans in words and bytes, and the sorted ids of the items found."""
-    parts = [_scan(docs, index, id_col, text_col) for index in _blocks(benchmark, item_col, text_col, ngram, max_broadcast_windows)]
-    if not parts:
-        return _scan(docs, _Index({}), id_col, text_col)
-    if len(parts) == 1:
-        return parts[0]
-    one = parts[0]
-    for other in parts[1:]:
-        one = one.unionByName(other)
-    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("word_from", "word_to", "byte_from", "byte_to"))))
-    empty = "cast(array() as array<struct<word_from:int,word_to:int,byte_from:int,byte_to:int>>)"
-    merged = one.groupBy("doc_id", "n_words").agg(spans.alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    folded = F.expr(
-        f"""aggregate(s, {empty}, (acc, x) -> case when size(acc) > 0 and x.word_from <= element_at(acc, -1).word_to
-        then concat(slice(acc, 1, size(acc) - 1), array(named_struct('word_from', element_at(acc, -1).word_from, 'word_to', greatest(element_at(acc, -1).word_to, x.word_to),
-        'byte_from', element_at(acc, -1).byte_from, 'byte_to', greatest(element_at(acc, -1).byte_to, x.byte_to)))) else concat(acc, array(x)) end)"""
-    )
-    return merged.withColumn("s", folded).select("doc_id", "n_words", *(F.col(f"s.{c}").alias(c) for c in ("word_from", "word_to", "byte_from", "byte_to")), "items")
+    """One row per row of docs: doc_id, n_words, hit spans in words and bytes, and the sorted ids of the items found."""
+    source = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return _found(source, _blocks(benchmark, item_col, "text", ngram, max_broadcast_windows)).withColumnRenamed("key", "doc_id")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -191,33 +211,44 @@ def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "document", ngram: int = NGRAM) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "document", ngram: int = NGRAM, max_broadcast_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """mode "document": contaminated documents go. mode "span": the hit words are cut from the text, and documents stay.
 
-    Needs doc_id and text; all columns are kept (n_chars, where there is one, is counted again after a cut). A row is judged by
-    its own text, so null or repeated doc_ids do no harm. Documents are filtered where they are scanned, without a join or
-    shuffle, one pass for each block of the benchmark; spans are joined back on a key of doc_id and text.
+    Needs doc_id and text; all columns are kept, whatever their names (n_chars, where there is one, is counted again after a cut). A row
+    is judged by its own text, so null or repeated doc_ids do no harm. With one block of windows, documents are filtered or cut where
+    they are scanned, without a join or shuffle.
     """
     if mode not in ("document", "span"):
         raise ValueError(f"mode must be document or span, not {mode!r}")
+    blocks = _blocks(benchmark, "item_id", "text", ngram, max_broadcast_windows)
+    if mode == "document":
+        ahead = list(itertools.islice(blocks, 2))
+        if len(ahead) < 2:
+            return _clean_rows(docs, ahead[0]) if ahead else docs
+        blocks = itertools.chain(ahead, blocks)
+    # the whole row is the key, so no name of ours meets one of theirs
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _found(docs.select(whole.alias("key"), F.col("text").cast("string").alias("text")), blocks)
     if mode == "document":
-        for index in _blocks(benchmark, "item_id", "text", ngram, MAX_BROADCAST_WINDOWS):
-            docs = _clean_rows(docs, index)
-        return docs
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    found = scan(keyed.select("__key", "text"), benchmark, ngram=ngram, id_col="__key")
-    bad = found.where(F.size("items") > 0).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "__key")
+        return found.where(F.size("items") == 0).select("key.*")
     # spans are byte spans of the UTF-8 text
     raw = F.expr(
-        """decode(concat(aggregate(arrays_zip(b.byte_from, b.byte_to), named_struct('at', 0, 'out', cast('' as binary)),
-        (s, x) -> named_struct('at', x.byte_to, 'out', concat(s.out, substring(cast(text as binary), s.at + 1, x.byte_from - s.at))),
-        s -> concat(s.out, substring(cast(text as binary), s.at + 1)))), 'UTF-8')"""
+        """decode(concat(aggregate(arrays_zip(byte_from, byte_to), named_struct('at', 0, 'out', cast('' as binary)),
+        (s, x) -> named_struct('at', x.byte_to, 'out', concat(s.out, substring(cast(key.text as binary), s.at + 1, x.byte_from - s.at))),
+        s -> concat(s.out, substring(cast(key.text as binary), s.at + 1)))), 'UTF-8')"""
     )
-    text = F.when(F.col("b.byte_from").isNull(), F.col("text")).otherwise(raw)
-    out = keyed.join(bad.select("__key", F.struct("byte_from", "byte_to").alias("b")), "__key", "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("b").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    hit = F.size("byte_from") > 0
+    kind = docs.schema["text"].dataType
+    done = found.select("key", hit.alias("hit"), F.when(hit, raw).otherwise(F.col("key.text").cast("string")).alias("cut"))
+
+    def column(c: str):
+        if c == "text":
+            return F.col("cut").cast(kind).alias(c)
+        if c == "n_chars":
+            return F.when(F.col("hit"), F.length("cut").cast(docs.schema[c].dataType)).otherwise(F.col(f"key.`{c}`")).alias(c)
+        return F.col(f"key.`{c}`").alias(c)
+
+    return done.select(*map(column, docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
