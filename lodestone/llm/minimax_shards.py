@@ -1,11 +1,12 @@
 """Sharding by a minimax contiguous partition of ordered atomic groups; the law that holds is `bytes`.
 
-Equal texts form a group. Groups are ordered by a 64-bit hash of the text and never cut: those whose hashes agree in the first
-``unit_bits`` bits form one atomic unit, so the driver gets at most 2**unit_bits sizes (20 bits: a million longs) however large
-the corpus is. With fewer groups than that nearly every unit is one group; with more, a unit is about total / 2**unit_bits
-bytes, which bounds what a finer order could gain in a shard.
+Equal texts form a group. Groups are ordered by a 64-bit hash of the text (as a signed number) and never cut. The capacity is the
+smallest feasible one for the groups, however many there are: the driver first gets the sizes of units, groups whose hashes agree
+in the first ``unit_bits`` bits (at most 2**unit_bits rows: a million longs), and then the groups of those few units alone that a cut
+may fall into, until the greedy fill below the capacity found fails without touching a unit that was not looked into. That fill is
+then the fill over all groups, so no smaller capacity is feasible.
 
-`capacities` binary-searches the smallest capacity for which a greedy left-to-right fill needs at most the wanted number of
+`capacity` binary-searches the smallest capacity for which a greedy left-to-right fill needs at most the wanted number of
 shards. Among the partitions under that capacity, the cuts are then placed so that no shard stays empty while there are units
 left, by filling each shard up to the lesser of the capacity and its fair share of what is left. One very large group of
 copies fills a shard by itself: it cannot be cut, and it sets the capacity.
@@ -28,6 +29,8 @@ SHARDS = 40
 UNIT_BITS = 20
 OVERHEAD = 16
 ROWS_PER_BLOCK = 50_000
+#: Capacities tried in one look for units that a cut may fall into.
+PROBES = 8
 
 
 def feasible(sizes: np.ndarray, capacity: int, shards: int) -> bool:
@@ -77,22 +80,61 @@ def cuts(sizes: np.ndarray, shards: int) -> list[int]:
     return out
 
 
+def stops(sizes: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """The first atom of each shard but the first in a greedy fill: what did not fit any more."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out, at = [], 0
+    for _ in range(shards):
+        at = int(np.searchsorted(ends, ends[at] + capacity, side="right")) - 1
+        if at >= len(sizes):
+            break
+        out.append(at)
+    return out
+
+
+def refined(keys: np.ndarray, sizes: np.ndarray, whole: np.ndarray, shards: int, look, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+    """Atoms (their first keys, sizes) over which the smallest feasible capacity is that of all groups. whole: whether an atom is one
+    group; look(keys) gives (keys, sizes) of the groups of the units that begin there, in order."""
+    while len(sizes) and not whole.all():
+        most = capacity(sizes, shards)
+        least = -(-int(sizes.sum()) // shards)
+        if all(whole[i] for i in stops(sizes, most - 1, shards)):
+            break
+        tried = {most - 1, *np.linspace(min(least, most - 1), most - 1, probes).astype(np.int64).tolist()}
+        open_ = sorted({i for c in tried for i in stops(sizes, c, shards) if not whole[i]})
+        new_keys, new_sizes = look(keys[open_])
+        rest = np.ones(len(sizes), bool)
+        rest[open_] = False
+        keys, sizes, whole = np.concatenate([keys[rest], new_keys]), np.concatenate([sizes[rest], new_sizes]), np.concatenate([whole[rest], np.ones(len(new_keys), bool)])
+        order = np.argsort(keys, kind="stable")
+        keys, sizes, whole = keys[order], sizes[order], whole[order]
+    return keys, sizes
+
+
 def assign(docs: DataFrame, *, shards: int = SHARDS, unit_bits: int = UNIT_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: only the `key` law grows)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    unit = F.shiftrightunsigned(F.xxhash64(text), 64 - unit_bits).cast("int")
-    # the text is read once; what follows needs about 24 bytes a row
-    rows = C.written(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), unit.alias("unit")), "shard-rows")
-    sizes = rows.groupBy("unit").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).toArrow().sort_by("unit")  # columns, not rows: 20 bytes a unit
-    ends = cuts(sizes["s"].to_numpy(), shards)
-    units = sizes["unit"].to_numpy()
-    # the first unit of the shards after the first
-    first = [int(units[e]) if e < len(units) else 1 << unit_bits for e in ends[:-1]]
-    total = int(sizes["n"].to_numpy().sum())
+    # the text is read once; what follows needs about 32 bytes a row
+    rows = C.written(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash")), "shard-rows")
+    groups = C.written(rows.groupBy("hash").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).withColumn("unit", F.shiftright("hash", 64 - unit_bits).cast("int")), "shard-groups")
+    # columns, not rows: 40 bytes a unit
+    units = groups.groupBy("unit").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("hash").alias("first"), F.count(F.lit(1)).alias("many")).toArrow().sort_by("first")
+
+    def look(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = [int(x) >> (64 - unit_bits) for x in first]
+        found = groups.where(F.col("unit").isin(own)).select("hash", "s").toArrow().sort_by("hash")
+        return found["hash"].to_numpy(), found["s"].to_numpy()
+
+    keys, sizes = refined(units["first"].to_numpy(), units["s"].to_numpy(), units["many"].to_numpy() == 1, shards, look)
+    C.dropped(groups)
+    ends = cuts(sizes, shards)
+    # the first hash of the shards after the first; shards past the last group hold nothing
+    first = [int(keys[e]) for e in ends[:-1] if e < len(keys)]
+    total = int(units["n"].to_numpy().sum())
     blocks = max(1, -(-total // ROWS_PER_BLOCK))
     shard: Column = F.lit(0)
     for x in first:
-        shard = shard + (F.col("unit") >= F.lit(x)).cast("int")
+        shard = shard + (F.col("hash") >= F.lit(x)).cast("int")
     placed = C.written(rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")), "shard-placed")
     C.dropped(rows)
     counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
