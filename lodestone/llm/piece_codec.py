@@ -8,7 +8,11 @@ longest last piece.
 
 No piece holds a U+2581 after another character (checked on loading), so the best path never crosses the start of a run of
 spaces: the text falls into units there, each distinct unit of a batch is solved once, and units of like length advance through
-the automaton together as arrays. This is exact; if a vocabulary breaks the condition, each text is one unit.
+the automaton together as arrays. This is exact; if a vocabulary breaks the condition, each text is one unit. A long unit (Chinese,
+a token of megabytes) is cut further where the automaton's state is the character's first byte alone or the root, as no piece can then
+span that place; the states of all positions come from blocks of the unit that advance together, each started as many bytes early as
+the longest piece has, after which its state is the true one. What is still long (a repeated letter) goes through the same recurrence
+one position at a time, without arrays: its cost is a fixed number of steps for each byte and output link.
 
 The score of a segmentation is the sum of its piece scores, as in a unigram model. The supplied vocabulary was made for BPE
 merges, so the ids are the best-scoring segmentation, not the library's merge order; decoding either gives the same text.
@@ -32,6 +36,11 @@ from . import common as C
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 MODEL = "piece_bpe_32k.model"
+#: Bytes from which a unit is looked over for further cuts, and of a block in that look.
+LONG_UNIT = 96
+RUN = 1_024
+#: Fewer units than this do not go together as arrays.
+FEW = 24
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -108,6 +117,9 @@ class Codec:
                     goto[s, c] = t
             level = below
         self.goto, self.out = goto, out
+        self.depth = np.array(depth, np.int32)
+        self.longest = int(self.depth.max())
+        self._links: dict[int, list[tuple[int, float, int]]] = {0: []}
         self.next = out[fail]  # the next shorter piece that ends where this one does
         self.piece = ends
         self.piece_length = np.array(depth, np.int32)
@@ -115,6 +127,8 @@ class Codec:
 
     def solve(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in order, number of ids of each unit) by Viterbi; units of like length go together."""
+        if not len(starts):
+            return np.empty(0, np.int32), np.zeros(0, np.int64)
         order = np.argsort(lengths, kind="stable")
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at = 0
@@ -123,10 +137,12 @@ class Codec:
             stop = at + int(np.searchsorted(lengths[order[at:]], longest, side="right"))
             stop = min(stop, at + max(1, (2 << 20) // (longest + 1)))
             take = order[at:stop]
-            parts.append((take, *self._solve(buf, starts[take], lengths[take])))
+            if len(take) < FEW and longest > FEW:  # arrays of so few columns cost more than they save
+                one = [self._walk(buf[s : s + n]) for s, n in zip(starts[take].tolist(), lengths[take].tolist(), strict=True)]
+                parts.append((take, np.concatenate(one), np.array([len(x) for x in one], np.int64)))
+            else:
+                parts.append((take, *self._solve(buf, starts[take], lengths[take])))
             at = stop
-        if not parts:
-            return np.empty(0, np.int32), np.zeros(0, np.int64)
         counts = np.zeros(len(starts), np.int64)
         for take, _, n in parts:
             counts[take] = n
@@ -136,6 +152,61 @@ class Codec:
             flat[C.gathered(begin[take], n)] = ids
         return flat, counts
 
+    def _ends(self, o: int) -> list[tuple[int, float, int]]:
+        """(length, score, state) of the pieces that end at a state, longest first."""
+        found = self._links.get(o)
+        if found is None:
+            found = self._links[o] = [(int(self.piece_length[o]), float(self.piece_score[o]), o), *self._ends(int(self.next[o]))]
+        return found
+
+    def _walk(self, text: np.ndarray) -> np.ndarray:
+        """The ids of one unit, a position at a time."""
+        data, n = text.tobytes(), len(text)
+        best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        goto, out, links = self.goto, self.out, self._links
+        state = char = 0
+        for t, b in enumerate(data):
+            char = char + 1 if b & 0xC0 == 0x80 else 1
+            state = goto.item(state, b)
+            o = out.item(state)
+            top, how, single = best[t + 1], 0, False
+            for size, score, ends in links.get(o) or self._ends(o):
+                value = best[t + 1 - size] + score
+                if value > top:
+                    top, how = value, ends
+                single = single or size == char
+            if not single and (t + 1 == n or data[t + 1] & 0xC0 != 0x80):
+                value = best[t + 1 - char] + self.unknown
+                if value > top:
+                    top, how = value, -char
+            best[t + 1], back[t + 1] = top, how
+        fallback = (self.byte_id >= 0).all()
+        ids, at = [], n
+        while at:
+            how = back[at]
+            if how > 0:
+                ids.append(int(self.piece[how]))
+                at -= int(self.piece_length[how])
+            else:
+                ids.extend(self.byte_id[np.frombuffer(data[at + how : at], np.uint8)][::-1].tolist() if fallback else [self.unk])
+                at += how
+        return np.array(ids[::-1], np.int32)
+
+    def _cuts(self, buf: np.ndarray) -> np.ndarray:
+        """Places of buf (long units, one after the other) that no piece spans and where a character begins."""
+        n, early = len(buf), self.longest
+        columns = -(-n // RUN)
+        state = np.zeros(columns, np.int32)
+        begin = np.arange(columns) * RUN
+        depth = np.zeros(columns * RUN, np.int32)
+        for k in range(-early, RUN):
+            at = begin + k
+            inside = (at >= 0) & (at < n)
+            state = np.where(inside, self.goto[state, buf[np.clip(at, 0, n - 1)]], 0)
+            if k >= 0:
+                depth[at] = self.depth[state]
+        return np.flatnonzero((depth[:n] <= 1) & ((buf & 0xC0) != 0x80))
+
     def _solve(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, most = len(starts), int(lengths.max())
         text = np.zeros((most, n), np.uint8)
@@ -226,6 +297,12 @@ class Codec:
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         lengths = np.diff(np.append(starts, n))
+        if (long_ := lengths > LONG_UNIT).any():
+            # long units stand next to each other in `own`; a state that reaches back over a seam only spares a cut
+            own = C.gathered(starts[long_], lengths[long_])
+            cut[own[self._cuts(buf[own])]] = True
+            starts = np.flatnonzero(cut)
+            lengths = np.diff(np.append(starts, n))
         up, down = C._power(n + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C._LETTER[buf] * up[:n], dtype=np.uint64)])
         print_ = C.mix((total[starts + lengths] - total[starts]) * down[starts] + lengths.astype(np.uint64))
@@ -317,4 +394,4 @@ def decode(encoded: DataFrame, *, model: str | None = None, id_col: str = "doc_i
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return encode(C.table(spark, sf_dir, "documents"), with_ids=False)
+    return encode(C.table(spark, sf_dir, "documents"))
