@@ -357,6 +357,13 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
     _numbered(ordered).write.option("compression", "zstd").parquet(f"{path}/recipes")
     C.dropped(staged)
 
+    out = _manifest(spark, path)
+    spark.createDataFrame(out, "part int, n_documents long, n_ids long, start long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str) -> list[tuple]:
+    """(part, n_documents, n_ids, start, root) of each part of the recipes as they are, and (-1, ...) of the store."""
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
         for batch in batches:
@@ -377,7 +384,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
         out.append((p.part, p.n_documents, p.n_ids, start, bytes(p.root)))
         start += p.n_ids
     out.append((-1, sum(p.n_documents for p in parts), start, 0, merkle_root([bytes(p.root) for p in parts]) or None))
-    spark.createDataFrame(out, "part int, n_documents long, n_ids long, start long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    return out
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -386,9 +393,24 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/recipes").join(F.broadcast(manifest), "part").withColumn("start", F.col("base") + F.col("first")).drop("base", "first")
 
 
+def damaged_parts(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """Ranges of start of the parts whose recipes do not agree with the manifest."""
+    told = {r.part: (r.n_documents, r.n_ids, r.start, None if r.root is None else bytes(r.root)) for r in spark.read.parquet(f"{path}/manifest").collect()}
+    store = told.pop(-1, None)
+    parts = [told[k] for k in sorted(told)]
+    if store is None or store[:2] != (sum(p[0] for p in parts), sum(p[1] for p in parts)) or (merkle_root([p[3] for p in parts]) or None) != store[3]:
+        raise ValueError("the manifest does not agree with its store root")
+    now = {p[0]: (p[1], p[2], p[4]) for p in _manifest(spark, path) if p[0] >= 0}
+    if lost := sorted(set(told) - set(now)):
+        raise ValueError(f"recipes of the parts {lost[:10]} are lost")
+    return [(told[k][2], told[k][2] + max(told[k][1], now[k][1])) for k in sorted(told) if (told[k][0], told[k][1], told[k][3]) != now[k]]
+
+
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and n_chunks of every document from the files; verified: digests, lengths, CRC and Merkle
-    root all agree with the recipe."""
+    root all agree with the recipe, and the root and counts of the document's part with the manifest. A store whose manifest does not
+    agree with its own store root, or of which a whole part is lost, is an error."""
+    bad = damaged_parts(spark, path)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,9 +448,14 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
             )
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    return recipes.join(found, "start", "left").select("doc_id", "start", "n_tokens", "ids_crc32", "lengths", "digests", "root", "found").mapInArrow(
+    out = recipes.join(found, "start", "left").select("doc_id", "start", "n_tokens", "ids_crc32", "lengths", "digests", "root", "found").mapInArrow(
         checked, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, n_chunks long, verified boolean"
     )
+    if not bad:
+        return out
+    spans = spark.createDataFrame(bad, "low long, high long")
+    here = out.join(F.broadcast(spans), (F.col("start") >= F.col("low")) & (F.col("start") < F.col("high")), "left")
+    return here.select(*out.columns[:-1], (F.col("verified") & F.col("low").isNull()).alias("verified"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
