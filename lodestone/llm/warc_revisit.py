@@ -9,9 +9,14 @@ Captures of one URL may be a third of all rows, so the as-of join never holds a
 buckets, the latest response inside the bucket is found there, and the one of earlier buckets is carried over a table that has
 one pre-aggregated row for each URL and bucket. Payloads do not move; a result names the record that holds it.
 
+`read_warc` reads records of uncompressed WARC files with Spark's text reader; `parsed` makes the records that `resolve` takes out of
+raw ones.
+
 Edge cases: null or empty URL resolves nothing (`no_url`); null time is `no_time`; no earlier response is `no_prior`; equal times
-go by record id; a repeated response row counts once (the key is the record id; of equal ids any one, chosen by digest); null
-headers are empty; an empty table gives no rows; further columns are not read.
+go by record id; a repeated response row counts once (the key is the record id; of equal ids any one, chosen by digest); revisits
+that share a record id are each resolved by their own URL and time; null headers are empty; an empty table gives no rows; further
+columns are not read. A join meets a hot response or the many revisits without one in more than one task: those without are dealt
+out by a hash, and adaptive execution splits a hot key, as both sides of that join are dealt out for it alone.
 """
 
 from __future__ import annotations
@@ -57,9 +62,13 @@ def resolve(records: DataFrame, *, bucket_seconds: int = BUCKET_SECONDS) -> Data
     carried = both.groupBy("url", "bucket").agg(F.max(key).alias("top")).select(
         "url", "bucket", F.last("top", ignorenulls=True).over(Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("far")
     )
-    chosen = inside.join(carried, ["url", "bucket"], "left").select("record_id", F.coalesce("near.record_id", "far.record_id").alias("response_id")).dropDuplicates(["record_id"])
+    chosen = inside.join(carried, ["url", "bucket"], "left").select("url", "at", "record_id", F.coalesce("near.record_id", "far.record_id").alias("response_id")).distinct()
     stored = responses.groupBy(F.col("record_id").alias("response_id")).agg(F.max_by(F.struct("headers", "digest", "length"), F.coalesce("digest", F.lit(""))).alias("r"))
-    out = revisits.join(chosen, "record_id", "left").join(stored, "response_id", "left")
+    own = chosen.select(F.col("url").alias("u"), F.col("at").alias("t"), F.col("record_id").alias("i"), "response_id")
+    out = revisits.join(own, (F.col("url") == F.col("u")) & (F.col("at") == F.col("t")) & F.col("record_id").eqNullSafe(F.col("i")), "left").drop("u", "t", "i")
+    # revisits without a response would all meet on the null key
+    out = out.withColumn("spread", F.when(F.col("response_id").isNull(), F.pmod(F.xxhash64("record_id", "url"), F.lit(4096))).otherwise(F.lit(0).cast("long")))
+    out = out.join(stored.withColumn("spread", F.lit(0).cast("long")), ["response_id", "spread"], "left")
     tag, date = F.col("headers")["etag"], F.col("headers")["last-modified"]
     outcome = (
         F.when(F.col("url").isNull(), "no_url").when(F.col("at").isNull(), "no_time").when(F.col("response_id").isNull(), "no_prior")
@@ -78,6 +87,39 @@ def resolve(records: DataFrame, *, bucket_seconds: int = BUCKET_SECONDS) -> Data
     )
 
 
+_HEAD = r"(?s)^(.*?)\r?\n\r?\n"
+
+
+def _fields(block: Column) -> Column:
+    """Header lines `name: value` as a map with lower-case names; of equal names the first counts."""
+    lines = F.filter(F.split(block, r"\r?\n"), lambda x: x.rlike(r"^[^:\s]+:"))
+    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^([^:\s]+):", 1)).alias("key"), F.trim(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)).alias("value")))
+    names = F.transform(pairs, lambda x: x["key"])
+    return F.map_from_entries(F.filter(pairs, lambda x, i: F.array_position(names, x["key"]) == i + 1))
+
+
+def parsed(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Records for `resolve` from WARC records (text from `WARC/1.0` on, or after it, to the next record). record_id is a 64-bit hash of
+    WARC-Record-ID, `at` WARC-Date in seconds; a revisit's digest is that of the payload it refers to, its headers those of its 304
+    response. Other types of record (request, metadata, warcinfo) and fragments without a type are passed over."""
+    text = F.regexp_replace(F.col(column).cast("string"), r"^WARC/[0-9.]+\r?\n", "")
+    head = F.regexp_extract("text", _HEAD, 1)
+    http = F.expr("substring(text, length(head) + 1)")
+    one = raw.select(text.alias("text")).select("text", head.alias("head")).select(_fields(F.col("head")).alias("w"), F.regexp_replace(http, r"^(\r?\n)+", "").alias("http"))
+    two = one.where(F.col("w")["warc-type"].isin("response", "revisit")).select("w", F.regexp_extract(F.concat("http", F.lit("\r\n\r\n")), _HEAD, 1).alias("block"))
+    return two.select(
+        F.xxhash64(F.col("w")["warc-record-id"]).alias("record_id"), F.col("w")["warc-type"].alias("kind"), F.regexp_replace(F.col("w")["warc-target-uri"], "^<|>$", "").alias("url"),
+        F.unix_seconds(F.try_to_timestamp(F.col("w")["warc-date"])).alias("at"), F.regexp_extract("block", r"^HTTP/[0-9.]+ +([0-9]{3})", 1).try_cast("int").alias("status"),
+        _fields(F.col("block")).alias("headers"), F.col("w")["warc-payload-digest"].alias("digest"), F.col("w")["content-length"].try_cast("long").alias("length"),
+    )
+
+
+def read_warc(spark, path: str) -> DataFrame:
+    """`parsed` records of the uncompressed WARC files at path. Spark's text reader cuts them at `WARC/1.0` line ends, in parallel inside a
+    file; a payload that holds that very line is cut there too, and its rest, which has no WARC-Type, is passed over."""
+    return parsed(spark.read.option("lineSep", "WARC/1.0\r\n").text(path))
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Records of a two-visit crawl of `pages`: a full response at 60 * page_id seconds, and a day and a second later a revisit under a
     link with tracking. Its validators go by a hash of the URL: a strong or weak ETag, Last-Modified, a stale ETag, the digest."""
