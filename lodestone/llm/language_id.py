@@ -6,8 +6,9 @@ languages has a linear SVM, and the language with the highest mean pair probabil
 logistic slope fitted on a fifth of the sample that the SVMs did not see. The score is family probability times pair probability.
 
 Learning uses text and lang alone, of rows with non-null lang for which crc32(doc_id as text) mod 5 is not 0, drawn by a hash
-of doc_id: at most about ``max_rows`` rows, in equal parts for each language. The sample is the only part that does not grow
-with the input. Whole texts are read, in learning and in prediction.
+of doc_id: about ``max_rows`` rows, in equal parts for each language, but eight of each language where there are so many that
+their parts would be smaller; so every language is learned. Of rows with one doc_id and language one counts (that with the least
+text). The sample is the only part that does not grow with the input. Whole texts are read, in learning and in prediction.
 
 Languages outside the table of families form a family of their own. Edge cases: null text, empty text and text without a letter
 get `und` with score 0; so does everything if no row has a language; a single language is predicted with score 1; null doc_id
@@ -36,6 +37,7 @@ FAMILY = {
 }
 
 MAX_ROWS = 2_400
+LEAST_ROWS = 8
 DIM = 1 << 12
 #: The filtering stage keeps a document whose score reaches this.
 KEEP_SCORE = 0.4
@@ -67,12 +69,14 @@ def _features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _sample(docs: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, the row's language numbers, and its feature shares (rows x 2 DIM)."""
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows // 8).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()}  # as many rows as languages
     if not counts:
         return [], np.empty(0, np.int64), np.empty((0, 2 * DIM), np.float32)
-    each = max_rows // len(counts)
+    each = max(max_rows // len(counts), LEAST_ROWS)
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
     chosen = labelled.where(F.col("text").isNotNull() & (draw < F.coalesce(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])[F.col("lang")], F.lit(0.0))))
+    # however often a row is repeated, it comes to the driver once
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,13 +246,14 @@ def keep(docs: DataFrame, *, model: Model | None = None, min_score: float = KEEP
     C.small_batches(docs.sparkSession)
     handle = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     columns = docs.columns
-    source = docs.withColumn("__letter", _letter("text"))
+    # the row travels as one column beside ours, whatever its columns are called
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text").cast("string").alias("text"), _letter("text").alias("letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _predictions(handle.value, C.as_array(batch, "text").cast(pa.string()), C.as_array(batch, "__letter").to_numpy(zero_copy_only=False))
+            langs, scores = _predictions(handle.value, C.as_array(batch, "text"), C.as_array(batch, "letter").to_numpy(zero_copy_only=False))
             fine = np.array([x != "und" for x in langs], bool) & (scores >= min_score)
-            yield batch.select(columns).filter(pa.array(fine))
+            yield pa.RecordBatch.from_arrays(C.as_array(batch, "row").filter(pa.array(fine)).flatten(), names=columns)
 
     return source.mapInArrow(run, docs.schema)
 
