@@ -154,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, id_col:
     share = F.when(F.col("y") > 0, F.lit(min(1.0, max_rows / 2 / counts[1]))).otherwise(F.lit(min(1.0, max_rows / 2 / counts[0])))
     chosen = one.where(draw < share)  # about max_rows rows at most: small enough to broadcast whatever the size of the tables
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")  # a repeated doc_id comes to the driver once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
