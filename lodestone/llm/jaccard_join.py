@@ -59,6 +59,7 @@ SIEVES = 2
 PARTNERS = 1_000
 SMALL_BUCKET = 32
 LEVELS = 6
+SPREAD = 32
 #: A block of a component, where links are counted: about this many documents and tokens at most (a longer document is a block by itself).
 BLOCK_ROWS = 1_024
 BLOCK_TOKENS = 1 << 20
@@ -399,7 +400,10 @@ def _whole(open_: DataFrame, sets: DataFrame) -> DataFrame:
 def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(c, nc, doc_id, n, x, e) of (c, doc_id): the x tokens e that stand in one of document and centre."""
     centres = sets.join(members.select(F.col("c").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("c"), F.col("s").alias("z"))
-    rows = members.join(sets.select("doc_id", "s"), "doc_id").join(centres, "c")
+    # the members of a large group share a centre: each centre goes to SPREAD places, and a member to one of them
+    centres = centres.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")
+    rows = members.join(sets.select("doc_id", "s"), "doc_id").withColumn("place", place).join(centres, ["c", "place"])
     rows = rows.select("c", F.size("z").alias("nc"), "doc_id", F.size("s").alias("n"), F.expr("concat(array_except(s, z), array_except(z, s))").alias("e"))
     return C.written(rows.select("c", "nc", "doc_id", "n", F.size("e").alias("x"), "e"), "differences")
 
