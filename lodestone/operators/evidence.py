@@ -77,9 +77,11 @@ def relations(query_entities: Column | None = None, context_entities: Column | N
     return F.map_concat(pairs(related, "related_entity"), pairs(q, "query_entity"), pairs(context, "contextual_entity"))
 
 
-def provenance(user: str | None = None) -> Column:
-    author = F.lit(user) if user is not None else F.lit(None).cast("string")
-    return F.struct(F.col("source").alias("source"), F.col("age_days").alias("age_days"), F.lit("1.0").alias("version"), author.alias("user_id"))
+def provenance(user: str | None = None, columns: tuple[str, ...] = ()) -> Column:
+    """columns: what the rows have; version and author come from there, where they are."""
+    said = lambda c: F.col(c).cast("string") if c in columns else F.lit(None).cast("string")
+    author = F.lit(user) if user is not None else said("author")
+    return F.struct(F.col("source").alias("source"), F.col("age_days").alias("age_days"), F.coalesce(said("version"), F.lit("1.0")).alias("version"), author.alias("user_id"))
 
 
 def assemble(rows: DataFrame, *, least: float = LEAST_CONFIDENCE, near: float = NEAR, limit: int = LIMIT, most_bytes: int = MOST_BYTES, detail: str = "detailed", user: str | None = None) -> DataFrame:
@@ -87,7 +89,7 @@ def assemble(rows: DataFrame, *, least: float = LEAST_CONFIDENCE, near: float =
     kept = near_dedup(confident(rows, least), near)
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("position", "id"))
     kept = kept.withColumn("n", first).where(F.col("n") <= limit).drop("n")
-    made = kept.withColumns({"why_selected": why_selected(detail), "provenance": provenance(user), "relation_map": relations(), "content": T.cut(F.col("content"), most_bytes)})
+    made = kept.withColumns({"why_selected": why_selected(detail), "provenance": provenance(user, tuple(kept.columns)), "relation_map": relations(), "content": T.cut(F.col("content"), most_bytes)})
     valid = made.where((F.col("content") != "") & (F.coalesce("source", F.lit("")) != "") & F.col("confidence").between(0, 1))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("confidence", 9)), "id"))
     return valid.withColumn("rank", rank)
@@ -100,15 +102,15 @@ def histogram(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def conflicts(rows: DataFrame, *, gap: float = 0.5, pairs: int = 5000) -> DataFrame:
-    """Pairs of a query's results from different sources whose confidences differ by more than `gap`; of the pairs in row-major order the
-    first `pairs` are looked at."""
+def conflicts(rows: DataFrame, *, gap: float = 0.5, pairs: int | None = None) -> DataFrame:
+    """Pairs of a query's results from different sources whose confidences differ by more than `gap`; with `pairs`, of the pairs in row-major
+    order the first so many are looked at. A query's list is bounded, and so are its pairs."""
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("position", "id"))
     one = rows.select("query_id", "id", "source", "confidence", place.alias("i"), n.alias("n"))
     two = one.select("query_id", F.col("id").alias("other"), F.col("source").alias("other_source"), F.col("confidence").alias("other_confidence"), F.col("i").alias("j"))
     number = (F.col("i") - 1) * F.col("n") - F.expr("i * (i - 1) / 2") + (F.col("j") - F.col("i"))
-    return one.join(two, "query_id").where((F.col("i") < F.col("j")) & (number <= pairs) & (F.col("source") != F.col("other_source")) & (F.abs(F.round(F.col("confidence") - F.col("other_confidence"), 9)) > gap)).select("query_id", "id", "other")
+    return one.join(two, "query_id").where((F.col("i") < F.col("j")) & (number <= pairs if pairs is not None else F.lit(True)) & (F.col("source") != F.col("other_source")) & (F.abs(F.round(F.col("confidence") - F.col("other_confidence"), 9)) > gap)).select("query_id", "id", "other")
 
 
 def best_per_source(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ end, so that thresholds are exact."""
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,6 +17,8 @@ from ..functions.dialect import java
 
 TRIMMED = ".,!?;:()[]{}\"'"
 REACH = 3
+#: What every match of a built-in pattern holds.
+NEEDED = {"EMAIL": "@", "URL": "http", "PHONE": "[0-9]{3}", "DATE": "[0-9]", "NUMBER": "[0-9]"}
 #: A name of more words than this is over 100 bytes and so no entity.
 LONGEST = 40
 OPINIONS = ("think", "believe", "feel", "opinion", "seems", "appears")
@@ -24,8 +27,15 @@ OPINIONS = ("think", "believe", "feel", "opinion", "seems", "appears")
 def pattern_entities(rows: DataFrame, patterns: Mapping[str, str] = ENTITY_PATTERNS) -> DataFrame:
     """id, etype, name, confidence (hundredths), method, seq."""
     kinds = list(patterns)
-    found = F.array(*[F.struct(F.lit(k).alias("etype"), F.regexp_extract_all("content", F.lit(java(patterns[k])), 0).alias("names")) for k in kinds])
-    one = rows.select("id", F.posexplode(found).alias("kind", "f")).select("id", "kind", "f.etype", F.posexplode("f.names").alias("n", "name"))
+    none = F.array().cast("array<string>")
+
+    def names(k: str) -> Column:
+        every = F.regexp_extract_all("content", F.lit(java(patterns[k])), 0)
+        # a text without what each match of the pattern holds is not searched
+        return F.when(F.col("content").rlike(NEEDED[k]), every).otherwise(none) if patterns[k] == ENTITY_PATTERNS.get(k) else every
+
+    found = F.array(*[F.struct(F.lit(n).alias("kind"), F.lit(k).alias("etype"), names(k).alias("names")) for n, k in enumerate(kinds)])
+    one = rows.select("id", F.explode(F.filter(found, lambda f: F.size(f["names"]) > 0)).alias("f")).select("id", "f.kind", "f.etype", F.posexplode("f.names").alias("n", "name"))
     known = F.coalesce(F.create_map(*[x for k, v in PATTERN_CONFIDENCE.items() for x in (F.lit(k), F.lit(round(100 * v)))])[F.col("etype")], F.when(F.octet_length("name") < 3, 60).otherwise(80))
     return one.select("id", "etype", "name", known.alias("confidence"), F.lit("pattern").alias("method"), (F.col("kind").cast("long") * 1_000_000_000 + F.col("n")).alias("seq"))
 
@@ -43,7 +53,8 @@ def keyword_entities(rows: DataFrame, keywords: Mapping[str, tuple[str, ...]] =
     known = spark.createDataFrame(table, "key string, etype string, keyword string")
     clean = F.transform(T.words_of(F.col("content")), lambda w: F.regexp_replace(w, r"^[.,!?;:()\[\]{}\"']+|[.,!?;:()\[\]{}\"']+$", ""))
     keys = F.array(*[F.lit(k) for k in sorted({x[0] for x in table})])
-    words = rows.select("id", clean.alias("w"))
+    # words are cleaned in texts alone that have a keyword among their runs of letters
+    words = rows.where(F.arrays_overlap(F.split(F.lower("content"), "[^a-z]+"), keys)).select("id", clean.alias("w")) if all(k.isascii() and k.isalpha() for k, _, _ in table) else rows.select("id", clean.alias("w"))
     at = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains(keys, F.lower(x)), i + 1)), lambda i: i.isNotNull())
     near = words.where(F.arrays_overlap(F.transform("w", lambda x: F.lower(x)), keys)).select("id", "w", F.explode(at).alias("i"))
     near = near.withColumn("key", F.lower(F.element_at("w", F.col("i")))).join(known, "key")  # a few dozen rows: Catalyst broadcasts them
@@ -81,9 +92,11 @@ def entities(rows: DataFrame) -> DataFrame:
 
 
 def claim_sentences(rows: DataFrame) -> DataFrame:
-    """id, s_no, sentence: pieces between terminators that white space follows, over ten bytes."""
+    """id, s_no, sentence, tokens: pieces between terminators that white space follows, over ten bytes, and their lower-case runs of ASCII
+    letters, digits and underscores, by which patterns are passed over that cannot match."""
     pieces = F.transform(F.split("content", r"[.!?]+[\t\n\f\r ]+"), T.trimmed)
-    return rows.select("id", F.posexplode(pieces).alias("s_no", "sentence")).where(F.octet_length("sentence") > 10)
+    told = F.transform(pieces, lambda x: F.struct(x.alias("sentence"), F.array_distinct(F.split(F.lower(x), "[^0-9a-z_]+")).alias("tokens")))
+    return rows.select("id", F.posexplode(told).alias("s_no", "p")).select("id", "s_no", "p.sentence", "p.tokens").where(F.octet_length("sentence") > 10)
 
 
 def cleaned(c: Column) -> Column:
@@ -94,47 +107,79 @@ def cleaned(c: Column) -> Column:
     return T.trimmed(T.cut(c, 100))
 
 
-def svo_claims(sentences: DataFrame) -> DataFrame:
-    """Every match of every verb group: subject before it, object after it. The sentence is parted at the verbs once for each group and
-    joined again on either side of the k-th."""
-    groups = [rf"(?<![0-9A-Za-z_])({g})(?![0-9A-Za-z_])" for g in VERB_GROUPS]  # verbs begin and end with letters, so one side each will do
-    made = F.array(*[
-        F.struct(F.lit(n).alias("g"), F.split("sentence", "(?i)" + p).alias("pieces"), F.regexp_extract_all("sentence", F.lit("(?i)" + p), 0).alias("verbs")) for n, p in enumerate(groups)
-    ])
-    one = sentences.select("id", "s_no", "sentence", F.explode(made).alias("m")).where(F.size("m.verbs") > 0)
-    parts = F.expr("flatten(transform(m.pieces, (p, i) -> array(p, coalesce(get(m.verbs, i), ''))))")
-    each = one.select("id", "s_no", "sentence", "m.g", parts.alias("parts"), F.posexplode("m.verbs").alias("k", "verb"))
-    subject = F.array_join(F.slice("parts", F.lit(1), 2 * F.col("k") + 1), "")
-    rest = F.array_join(F.slice("parts", 2 * F.col("k") + 3, F.size("parts")), "")
-    return each.select("id", "s_no", "sentence", (F.col("g") * 1000 + F.col("k")).alias("c_no"), cleaned(subject).alias("subject"), F.trim("verb").alias("predicate"), cleaned(rest).alias("object"))
-
-
-def _pattern_claims(sentences: DataFrame, patterns: tuple[str, ...], predicate: str, base: int, swapped: bool = False) -> DataFrame:
+_NONE = "cast(array() as array<struct<c_no:int,s:string,p:string,o:string>>)"
+
+
+def _sql(x: str) -> str:
+    """A string as a Spark literal."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _words(xs) -> str:
+    return f"array({', '.join(map(_sql, xs))})"
+
+
+def _svo() -> list[str]:
+    """Every match of every verb group: subject before it, object after it. A group whose verbs are not among the tokens is passed over;
+    else the sentence is parted at its verbs once and joined again on either side of the k-th."""
+    out = []
+    for n, g in enumerate(VERB_GROUPS):
+        verb = _sql(rf"(?i)(?<![0-9A-Za-z_])({g})(?![0-9A-Za-z_])")  # verbs begin and end with letters, so one side each will do
+        parted = f"flatten(transform(split(sentence, {verb}), (p, i) -> array(p, coalesce(get(v, i), ''))))"
+        each = f"transform(v, (x, k) -> named_struct('c_no', {n * 1000} + k, 's', array_join(slice(parts, 1, 2 * k + 1), ''), 'p', trim(x), 'o', array_join(slice(parts, 2 * k + 3, size(parts)), '')))"
+        bound = f"transform(array(regexp_extract_all(sentence, {verb}, 0)), v -> transform(array({parted}), parts -> {each})[0])[0]"
+        out.append(f"CASE WHEN arrays_overlap(tokens, {_words(g.split('|'))}) THEN {bound} ELSE {_NONE} END")
+    return out
+
+
+#: What must hold for the pattern of that place to match: one of these tokens, where white space stands around the word, or a condition.
+_YEAR = "rlike(sentence, '[0-9]{4},')"
+_DEFINITION_NEEDS = (("defined",), ("means",), ("refers",), "contains(sentence, ':')")
+_CAUSAL_NEEDS = (("cause", "causes"), ("lead", "leads"), ("result", "results"), "rlike(sentence, '(?i)because')", "rlike(sentence, '(?i)due')")
+_TEMPORAL_NEEDS = (("before",), ("after",), ("during",), _YEAR, _YEAR)
+
+
+def _patterns(patterns: tuple[str, ...], needs: tuple[tuple[str, ...] | str, ...], predicate: str, base: int, swapped: bool = False) -> list[str]:
     """The first match of each pattern: groups 1 and 2 (swapped for temporal claims). A pattern that opens with any text can only match
     first from the start of a line, and is tried there alone: else a line without a match costs the square of its length."""
-    ready = ["(?im)^" + java(p) if p.startswith("(.+?)") else "(?i)" + java(p) for p in patterns]
-    made = F.array(*[
-        F.struct(F.lit(n).alias("n"), F.regexp_extract("sentence", p, 1).alias("a"), F.regexp_extract("sentence", p, 2).alias("b")) for n, p in enumerate(ready)
-    ])
-    one = sentences.select("id", "s_no", "sentence", F.explode(made).alias("m")).where("m.a <> '' AND m.b <> ''")
-    s, o = ("m.b", "m.a") if swapped else ("m.a", "m.b")
-    return one.select("id", "s_no", "sentence", (F.lit(base) + F.col("m.n")).alias("c_no"), cleaned(F.col(s)).alias("subject"), F.lit(predicate).alias("predicate"), cleaned(F.col(o)).alias("object"))
+    out = []
+    for n, (p, need) in enumerate(zip(patterns, needs, strict=True)):
+        ready = _sql(("(?im)^" if p.startswith("(.+?)") else "(?i)") + java(p))
+        gate = need if isinstance(need, str) else f"arrays_overlap(tokens, {_words(need)})"
+        s, o = (2, 1) if swapped else (1, 2)
+        one = f"array(named_struct('c_no', {base + n}, 's', regexp_extract(sentence, {ready}, {s}), 'p', '{predicate}', 'o', regexp_extract(sentence, {ready}, {o})))"
+        out.append(f"CASE WHEN {gate} THEN {one} ELSE {_NONE} END")
+    return out
+
+
+def _claimed(sentences: DataFrame, found: list[str]) -> DataFrame:
+    one = sentences.select("id", "s_no", "sentence", F.explode(F.expr(f"concat({', '.join(found)})")).alias("m")).where("m.s <> '' AND m.o <> ''")
+    return one.select("id", "s_no", "sentence", F.col("m.c_no").alias("c_no"), cleaned(F.col("m.s")).alias("subject"), F.col("m.p").alias("predicate"), cleaned(F.col("m.o")).alias("object"))
+
+
+_DEFINITIONS = lambda: _patterns(DEFINITION_PATTERNS, _DEFINITION_NEEDS, "is_defined_as", 1_000_000)
+_CAUSES = lambda: _patterns(CAUSAL_PATTERNS, _CAUSAL_NEEDS, "causes", 2_000_000)
+_TIMES = lambda: _patterns(TEMPORAL_PATTERNS, _TEMPORAL_NEEDS, "occurs_during", 3_000_000, True)
+
+
+def svo_claims(sentences: DataFrame) -> DataFrame:
+    return _claimed(sentences, _svo())
 
 
 def definition_claims(sentences: DataFrame) -> DataFrame:
-    return _pattern_claims(sentences, DEFINITION_PATTERNS, "is_defined_as", 1_000_000)
+    return _claimed(sentences, _DEFINITIONS())
 
 
 def causal_claims(sentences: DataFrame) -> DataFrame:
-    return _pattern_claims(sentences, CAUSAL_PATTERNS, "causes", 2_000_000)
+    return _claimed(sentences, _CAUSES())
 
 
 def temporal_claims(sentences: DataFrame) -> DataFrame:
-    return _pattern_claims(sentences, TEMPORAL_PATTERNS, "occurs_during", 3_000_000, swapped=True)
+    return _claimed(sentences, _TIMES())
 
 
 def _holds(c: Column, phrases) -> Column:
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(c, p))
+    return reduce(Column.__or__, [F.contains(c, F.lit(p)) for p in phrases])
 
 
 def _proper(c: Column) -> Column:
@@ -165,7 +210,6 @@ def valid_claims(claims: DataFrame, least: int = 6, most_bytes: int = 200) -> Da
 
 
 def claims(rows: DataFrame) -> DataFrame:
-    """id, s_no, subject, predicate, object, confidence."""
-    s = claim_sentences(rows)
-    every = svo_claims(s).unionByName(definition_claims(s)).unionByName(causal_claims(s)).unionByName(temporal_claims(s))
+    """id, s_no, subject, predicate, object, confidence: all kinds of claim in one pass over the sentences."""
+    every = _claimed(claim_sentences(rows), _svo() + _DEFINITIONS() + _CAUSES() + _TIMES())
     return valid_claims(scored(every)).select("id", "s_no", "subject", "predicate", "object", (F.col("tenths") / 10).alias("confidence"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.constants import EDGE_TYPES, NODE_TYPES
 from ..sources.tables import written
@@ -25,12 +25,16 @@ def nodes_by_type(nodes: DataFrame, kind: str, **properties) -> DataFrame:
 edges_by_type = nodes_by_type
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, of: DataFrame, *, node_types: Sequence[str] = (), edge_types: Sequence[str] = ()) -> DataFrame:
-    """id, neighbor, type: distinct out-neighbours of the ids in `of`."""
+def neighbors(nodes: DataFrame, edges: DataFrame, of: DataFrame, *, node_types: Sequence[str] = (), edge_types: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """id, neighbor, type: distinct out-neighbours of the ids in `of`; with `most`, the first so many of each id, by name."""
     out = edges.where(F.col("type").isin(*edge_types)) if edge_types else edges
     found = out.join(of.select("id"), out["src"] == of["id"]).select(of["id"].alias("id"), F.col("dst").alias("neighbor")).distinct()
     kinds = nodes.where(F.col("type").isin(*node_types)) if node_types else nodes
-    return found.join(kinds.select(F.col("id").alias("neighbor"), "type"), "neighbor").select("id", "neighbor", "type")
+    out = found.join(kinds.select(F.col("id").alias("neighbor"), "type"), "neighbor").select("id", "neighbor", "type")
+    if most is None:
+        return out
+    place = F.row_number().over(Window.partitionBy("id").orderBy("neighbor"))
+    return out.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
 def valid_nodes(nodes: DataFrame) -> DataFrame:
@@ -55,8 +59,10 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     return nodes.join(ids, "id", "left_anti"), rest.select(*edges.columns)
 
 
-def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int, *, edge_types: Sequence[str] = ()) -> DataFrame:
-    """src, dst, nodes, edges, cost of all simple paths of at most max_depth edges, a whole frontier a round. A path stops at an end."""
+def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int, *, edge_types: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """src, dst, nodes, edges, cost of all simple paths of at most max_depth edges, a whole frontier a round. A path stops at an end. Each
+    frontier is written, so that no round runs the rounds before it again. With `most`, the cheapest so many of each pair, ties by fewer
+    edges and by name."""
     steps = edges.where(F.col("type").isin(*edge_types)) if edge_types else edges
     steps = steps.select(F.col("id").alias("edge"), F.col("src").alias("at"), F.col("dst").alias("to"), "weight")
     goal = ends.select(F.col("id").alias("at"), F.lit(True).alias("goal")).distinct()
@@ -72,7 +78,11 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int,
             marked.where("goal IS NULL").join(steps, "at").where(~F.array_contains("nodes", F.col("to")))
             .select("src", F.col("to").alias("at"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"), (F.col("cost") + F.col("weight")).alias("cost"))
         )
-    return found
+        front = written(front)
+    if most is None:
+        return found
+    place = F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.round("cost", 9), F.size("nodes"), "nodes"))
+    return found.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int = 10) -> DataFrame:

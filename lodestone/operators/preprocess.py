@@ -5,7 +5,8 @@ tails); a sentence chunk starts at the first sentence that it holds, seed includ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_SIZE, OVERLAP = 1000, 100
 
@@ -52,27 +53,36 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\n[\t\n\f\r ]*\n"), lambda x: F.regexp_replace(x, r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$", "")), lambda x: x != "")
 
 
-def _size_sql(text: str, most: int, overlap: int) -> str:
-    """array of (start, end) of size chunks of the text expression; one fold over at most as many steps as there can be chunks."""
-    least = max(most // 2 - overlap, 1)  # every step moves at least so far
-    window = f"substring({text}, a.at + 1, {most})"
-    back = f"(length(w) - instr(reverse(w), ' '))"
-    cut = f"CASE WHEN a.at + {most} >= length({text}) THEN length({text}) WHEN instr(reverse(w), ' ') > 0 AND {back} > {most // 2} THEN a.at + {back} ELSE a.at + {most} END"
-    return f"""aggregate(sequence(1, cast(length({text}) / {least} as int) + 1), named_struct('at', 0, 'done', length({text}) = 0, 'out', cast(array() as array<struct<start:int,end:int>>)),
-      (a, i) -> CASE WHEN a.done THEN a ELSE transform(array({window}), w -> transform(array({cut}), e ->
-        named_struct('at', greatest(e - {overlap}, a.at + 1), 'done', e >= length({text}), 'out', concat(a.out, array(named_struct('start', a.at, 'end', cast(e as int))))))[0])[0] END, a -> a.out)"""
+def _size_chunks(most: int, overlap: int):
+    """A function of a text column: array of (start, end, chunk), in time proportional to the text; null gives null."""
 
+    @F.pandas_udf("array<struct<start:int,end:int,chunk:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[tuple[int, int, str]] | None:
+            if t is None:
+                return None
+            out, at, n = [], 0, len(t)
+            while n:
+                end = n
+                if at + most < n:
+                    space = t.rfind(" ", at, at + most)
+                    end = space if space - at > most // 2 else at + most
+                out.append((at, end, t[at:end]))
+                if end >= n:
+                    break
+                at = max(end - overlap, at + 1)
+            return out
 
-def chunk_by_size(rows: DataFrame, *, most: int = MAX_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """id, ordinal, start, end, chunk, strategy: windows of at most `most` characters that end at a space in their second half where
-    there is one; the next starts `overlap` characters before the end."""
-    spans = rows.select("id", "content", F.expr(_size_sql("content", most, overlap)).alias("spans"))
-    return _cut(spans, F.lit("size"))
+        return texts.map(one)
+
+    return cut
 
 
-def _cut(spans: DataFrame, strategy: Column) -> DataFrame:
-    one = spans.select("id", "content", F.posexplode("spans").alias("ordinal", "s"))
-    return one.select("id", "ordinal", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring("content", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk"), strategy.alias("strategy"))
+def chunk_by_size(rows: DataFrame, *, most: int = MAX_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """id, ordinal, start, end, chunk, strategy: windows of at most `most` characters that end at a space in their second half where
+    there is one; the next starts `overlap` characters before the end. The chunks leave the text in one pass, and the text stays behind."""
+    one = rows.select("id", _size_chunks(most, overlap)("content").alias("c")).select("id", F.posexplode("c").alias("ordinal", "c"))
+    return one.select("id", "ordinal", "c.start", "c.end", "c.chunk", F.lit("size").alias("strategy"))
 
 
 def _pack_sql(lengths: str, most: int, overlap: int) -> str:
@@ -104,14 +114,14 @@ def chunk_by_sentence(rows: DataFrame, *, most: int = MAX_SIZE, overlap: int = O
     """id, ordinal, start, end, chunk, strategy. A sentence longer than `most` is cut by size ("sentence-size")."""
     packs = pack_sentences(rows, most=most, overlap=overlap)
     one = packs.select("id", "content", F.posexplode("packs").alias("n", "p")).select("id", "n", F.col("p.kind").alias("kind"), F.col("p.start").alias("start"), F.expr("substring(content, p.start + 1, p.end - p.start)").alias("t"))
-    spans = F.when(F.col("kind") == 1, F.expr(_size_sql("t", most, overlap))).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length("t").alias("end"))))
-    out = one.select("id", "n", "kind", "start", "t", spans.alias("spans")).select("id", "n", "kind", "start", "t", F.posexplode("spans").alias("m", "s"))
-    from pyspark.sql import Window
+    long = _size_chunks(most, overlap)(F.when(F.col("kind") == 1, F.col("t")))  # nulls, which cost nothing, for all others
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("t").alias("end"), F.col("t").alias("chunk")))
+    out = one.withColumn("long", long).select("id", "n", "kind", "start", F.posexplode(F.coalesce("long", whole)).alias("m", "s"))
 
     ordinal = F.row_number().over(Window.partitionBy("id").orderBy("n", "m")) - 1
     return out.select(
         "id", ordinal.alias("ordinal"), (F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end"),
-        F.expr("substring(t, s.start + 1, s.end - s.start)").alias("chunk"), F.when(F.col("kind") == 1, "sentence-size").otherwise("sentence").alias("strategy"),
+        F.col("s.chunk").alias("chunk"), F.when(F.col("kind") == 1, "sentence-size").otherwise("sentence").alias("strategy"),
     )
 
 
@@ -129,8 +139,6 @@ def chunk_by_paragraph(rows: DataFrame, *, most: int = MAX_SIZE, overlap: int =
     short = packed.where("NOT c.long").select("id", "n", F.lit(0).alias("m"), F.col("c.chunk").alias("chunk"), F.lit("paragraph").alias("strategy"))
     long = packed.where("c.long").select(F.struct("id", "n").alias("id"), F.col("c.chunk").alias("content"))
     cut = chunk_by_sentence(long, most=most, overlap=overlap).select("id.id", "id.n", F.col("ordinal").alias("m"), "chunk", F.lit("paragraph-sentence").alias("strategy"))
-    from pyspark.sql import Window
-
     return short.unionByName(cut).select("id", (F.row_number().over(Window.partitionBy("id").orderBy("n", "m")) - 1).alias("ordinal"), "chunk", "strategy")
 
 

@@ -6,7 +6,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.constants import TRUSTED_SOURCES
@@ -74,13 +77,31 @@ def factors(rows: DataFrame, c: Ranking = Ranking()) -> DataFrame:
 
 
 def content_pairs(rows: DataFrame) -> DataFrame:
-    """query_id, id, other, similarity of the word sets for all ordered pairs within a query's bounded result list. Sets are built once
-    for each content and meet by word, so only pairs that share a word are formed; the rest have similarity 0."""
-    sets = rows.select("query_id", "id", T.content_words(F.col("content")).alias("w"))
-    one = sets.select("query_id", "id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    other = one.select("query_id", F.col("id").alias("other"), F.col("n").alias("m"), "word")
-    shared = one.join(other, ["query_id", "word"]).where("id <> other").groupBy("query_id", "id", "other", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-    return shared.select("query_id", "id", "other", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("similarity"))
+    """query_id, id, other, similarity of the word sets for all ordered pairs of a query that share a word; the rest have similarity 0. A
+    query's list is bounded by ranking (twice the limit), so its sets meet in one task, as a product of 0/1 matrices. Words go by their
+    64-bit fingerprints."""
+    sets = rows.select("query_id", "id", F.transform(T.content_words(F.col("content")), lambda w: F.xxhash64(w)).alias("w"))
+
+    def paired(group: pa.Table) -> pa.Table:
+        lists = group.column("w").combine_chunks()
+        n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        row = np.repeat(np.arange(len(n)), n)
+        both = np.zeros((len(n), len(n)), np.float32)
+        for a in range(0, len(words), 1 << 14):
+            own = (at >= a) & (at < a + (1 << 14))
+            x = np.zeros((len(n), min(1 << 14, len(words) - a)), np.float32)
+            x[row[own], at[own] - a] = 1
+            both += x @ x.T
+        np.fill_diagonal(both, 0)
+        i, j = np.nonzero(both)
+        common = both[i, j].astype(np.float64)
+        ids = group.column("id").combine_chunks()
+        return pa.table({"query_id": group.column("query_id").combine_chunks().take(pa.array(np.zeros(len(i), np.int64))), "id": ids.take(pa.array(i)), "other": ids.take(pa.array(j)), "similarity": pa.array(common / (n[i] + n[j] - common))})
+
+    kinds = sets.schema
+    out = StructType([kinds["query_id"], kinds["id"], StructField("other", kinds["id"].dataType), StructField("similarity", DoubleType())])
+    return sets.groupBy("query_id").applyInArrow(paired, out)
 
 
 def diversity(rows: DataFrame, radius: float = 0.5) -> DataFrame:

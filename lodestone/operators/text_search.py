@@ -81,6 +81,30 @@ def bm25(documents: DataFrame, queries: DataFrame, *, average: float = AVERAGE_L
     return counted.join(terms, "term").groupBy("query_id", "id", "bytes").agg(F.sum(share).alias("bm25"), F.count(F.lit(1)).alias("matched"))
 
 
+def match(documents: DataFrame, queries: DataFrame, pairs: DataFrame, reach: int = 50) -> DataFrame:
+    """query_id, id, matched (the query's terms that the content has, in the query's order), highlights (for each, the first occurrence with
+    `reach` characters on either side) for pairs(query_id, id)."""
+    terms = queries.select("query_id", F.array_distinct(T.keyword_tokens(F.col("query"))).alias("terms"))
+    rows = pairs.select("query_id", "id").join(terms, "query_id").join(documents.select("id", "content"), "id")
+    both = rows.withColumn("matched", F.array_intersect("terms", T.keyword_tokens(F.col("content"))))
+
+    def snippet(t: Column) -> Column:
+        at = F.instr(F.lower("content"), t)
+        start = F.greatest(at - reach, F.lit(1))
+        return F.when(at > 0, F.substring(F.col("content"), start, at - start + F.length(t) + reach))
+
+    return both.select("query_id", "id", "matched", F.array_distinct(F.filter(F.transform("matched", snippet), lambda x: x.isNotNull())).alias("highlights"))
+
+
+def page(found: DataFrame, limit: int, offset: int = 0, *, by: str = "score", descending: bool = True) -> DataFrame:
+    """The rows offset + 1 to offset + limit of each query, by score or id in either direction; ties by id. With their place."""
+    if limit < 0 or offset < 0 or by not in ("score", "id"):
+        raise ValueError("limit and offset are not negative, and results are sorted by score or id")
+    order = F.col(by).desc() if descending else F.col(by).asc()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(order, F.asc("id")))
+    return found.withColumn("place", place).where((F.col("place") <= offset + limit) & (F.col("place") > offset))
+
+
 def corpus_bm25(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Extension: BM25 with document frequencies and the average length of the corpus."""
     rows = documents.select("id", T.keyword_tokens(F.col("content")).alias("t"))

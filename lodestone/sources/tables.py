@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -43,8 +44,14 @@ def age_days(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` or `setCheckpointDir` names. A folder of our own is made on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            return named.get().rstrip("/")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
