@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..functions.constants import EDGE_TYPES, NODE_TYPES
-from ..sources.tables import written
+from ..sources.tables import dropped, written
 
 CUT_EVERY = 5
 
@@ -92,7 +92,8 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_dep
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 10, tolerance: float | None = None) -> DataFrame:
-    """id, score. Mass is conserved: what dangling nodes hold is spread over all. Distinct targets count. Stops early within tolerance."""
+    """id, score. Mass is conserved: what dangling nodes hold is spread over all. Distinct targets count. Stops early within tolerance. A
+    round is one job: what dangling nodes hold is observed while its scores are written, and the scores before are deleted then."""
     n = nodes.count()
     ids = nodes.select("id")
     if not n:
@@ -100,19 +101,24 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
     links = edges.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     links = written(links.join(out, "src"))
-    scores = ids.withColumn("score", F.lit(1.0 / n))
-    sinks = written(ids.join(out, ids["id"] == out["src"], "left_anti"))
-    for turn in range(rounds):
-        loose = scores.join(sinks, "id", "left_semi").agg(F.sum("score")).first()[0] or 0.0
-        given = links.join(scores, links["src"] == scores["id"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-        new = ids.join(given, ids["id"] == given["dst"], "left").select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n))).alias("score"))
-        new = written(new)  # the next round reads this twice
+    base = written(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("gives")), "id", "left").select("id", F.col("gives").isNull().alias("sink")))
+    loose = base.where("sink").count() / n
+    scores = base.withColumn("score", F.lit(1.0 / n))
+    for _ in range(rounds):
+        seen = Observation()
+        given = links.join(scores.select("id", "score"), links["src"] == scores["id"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
+        score = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / n))
+        new = base.join(given, base["id"] == given["dst"], "left").select("id", "sink", score.alias("score"))
+        new = written(new.observe(seen, F.sum(F.when(F.col("sink"), F.col("score"))).alias("loose")))  # the next round reads it
+        loose = seen.get["loose"] or 0.0
+        done = False
         if tolerance is not None:
-            moved = new.join(scores.withColumnRenamed("score", "old"), "id").agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
-            if moved <= tolerance:
-                return new
+            done = new.join(scores.select("id", F.col("score").alias("old")), "id").agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] <= tolerance
+        dropped(scores)
         scores = new
-    return scores
+        if done:
+            break
+    return scores.select("id", "score")
 
 
 def pagerank_unnormalized(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 10) -> DataFrame:
@@ -120,12 +126,14 @@ def pagerank_unnormalized(nodes: DataFrame, edges: DataFrame, *, damping: float
     ids = nodes.select("id")
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     links = written(edges.select("src", "dst").join(out, "src"))
-    scores = ids.withColumn("score", F.lit(1.0))
+    scores, cut = ids.withColumn("score", F.lit(1.0)), None
     for turn in range(rounds):
         given = links.join(scores, links["src"] == scores["id"]).groupBy("dst").agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         scores = ids.join(given, ids["id"] == given["dst"], "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         if turn % CUT_EVERY == CUT_EVERY - 1:
-            scores = written(scores)
+            before, scores = cut, written(scores)
+            dropped(*([before] if before is not None else []))
+            cut = scores
     return scores
 
 
@@ -134,14 +142,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     label's label, so rounds grow with the logarithm of the diameter in the usual case; stops when nothing moves."""
     ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = written(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = nodes.select("id", F.col("id").alias("component")).distinct()
+    labels, last = nodes.select("id", F.col("id").alias("component")).distinct(), None
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = written(labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("next")))
         root = step.groupBy("component").agg(F.min("next").alias("root"))
         root = root.join(root.select(F.col("component").alias("root"), F.col("root").alias("further")), "root").select("component", F.col("further").alias("root"))
         new = written(step.join(root, "component").select("id", F.col("root").alias("component"), (F.col("root") < F.col("component")).alias("moved")))
-        labels = new.select("id", "component")
+        dropped(step, *([last] if last is not None else []))
+        labels, last = new.select("id", "component"), new
         if new.where("moved").isEmpty():
             return labels
 
@@ -168,8 +177,12 @@ def name_search(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     from ..functions.text import words_of
 
     names = nodes.where("type = 'Entity'").select("id", F.lower("name").alias("name"))
-    # a term meets only names that hold its first three characters (all of a shorter one)
-    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.substring(F.col("name"), i, k))))
-    keyed = names.select("id", "name", F.explode(F.array_distinct(starts)).alias("key"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(words_of(F.lower("query")))).alias("term")).withColumn("key", F.substring("term", 1, 3))
-    return keyed.join(terms, "key").where(F.contains("name", "term")).select("query_id", "id", F.lit(0.8).alias("score")).distinct()
+    # a term meets only the names that hold its rarest run of three characters (all of a shorter one)
+    runs = lambda c, sizes: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.transform(F.array(*map(F.lit, sizes)), lambda k: F.substring(c, i, k))))
+    keyed = names.select("id", "name", F.explode(F.array_distinct(runs(F.col("name"), (1, 2, 3)))).alias("key"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(words_of(F.lower("query")))).alias("term"))
+    inner = F.when(F.length("term") <= 3, F.array("term")).otherwise(F.filter(runs(F.col("term"), (3,)), lambda x: F.length(x) == 3))
+    parts = terms.select("term").distinct().select("term", F.explode(F.array_distinct(inner)).alias("key"))
+    rare = keyed.join(parts.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    best = parts.join(rare, "key", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "key")).alias("b")).select("term", "b.key")
+    return keyed.join(terms.join(best, "term"), "key").where(F.contains("name", "term")).select("query_id", "id", F.lit(0.8).alias("score")).distinct()

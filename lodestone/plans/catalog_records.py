@@ -119,7 +119,7 @@ st AS (SELECT sp.id, n, kind, st, substring(content, st + 1, en - st) AS t FROM
 ss AS (SELECT id, n, 0 AS m, 'sentence' AS strategy, st AS s, st + length(t) AS e, t AS chunk FROM st WHERE kind = 0 UNION ALL SELECT z.id, z.n, m, 'sentence-size', st + s, st + e, substring(st.t, s + 1, e - s) FROM z JOIN st ON st.id = z.id AND st.n = z.n AND kind = 1)"""
 
 
-@_register("ch_sentence", f"WITH RECURSIVE {_SENTENCED} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY n, m) - 1)::INTEGER AS ordinal, strategy, s::INTEGER AS \"start\", e::INTEGER AS \"end\", md5(chunk) AS digest FROM ss")
+@_register("ch_sentence", f"WITH RECURSIVE {_SENTENCED} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY n, e) - 1)::INTEGER AS ordinal, strategy, s::INTEGER AS \"start\", e::INTEGER AS \"end\", md5(chunk) AS digest FROM ss")
 def ch_sentence(spark, d):
     return P.chunk_by_sentence(CI.texts(spark, d), most=_M, overlap=_O).select("id", "ordinal", "strategy", "start", "end", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 

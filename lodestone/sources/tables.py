@@ -67,7 +67,18 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestone/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that no later result reads, such as the last round's."""
+    for t in tables:
+        if path := getattr(t, "_lodestone_path", None):
+            where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _made[:] = [x for x in _made if x[1] != path]
 
 
 def release() -> None:

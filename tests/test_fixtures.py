@@ -173,13 +173,129 @@ def test_recall_and_write(spark, tmp_path):
     out = RC.recall(docs, v, q, qv).orderBy("rank").collect()
     assert [r.id for r in out] == [1]
     assert RC.recall(docs, v, q, expand=True).count() >= 1
-    assert RC.recall(docs, v, q, qv, filters={"source": "b"}).count() >= 1
+    # both searches see the filtered documents alone: the other one is nearer and holds the words
+    assert [r.id for r in RC.recall(docs, v, q, rows(spark, "query_id int, qe array<float>", (1, [1.0, 0.9])), filters={"source": "b"}).collect()] == [2]
+    assert RC.recall(docs, v, q, qv, filters={"source": "none"}).count() == 0
     stored = RC.write(docs, str(tmp_path / "w"))
     assert stored["rejected"].count() == 2 and stored["chunks"].count() == 2 and stored["claims"].count() >= 1
     left = RC.forget(stored, stored["chunks"].where("document = 1"))
     assert left["chunks"].count() == 1 and left["claims"].count() == 0
 
 
+def test_writes_add_up(spark, tmp_path):
+    from lodestone.operators import storage as ST
+    from lodestone.plans import recall as RC
+
+    path, schema = str(tmp_path / "w"), "id int, content string, source string"
+    RC.write(rows(spark, schema, (1, "First text of one document.", "a"), (2, "Second text of another.", "a")), path)
+    out = RC.write(rows(spark, schema, (3, "Third text comes later.", "b"), (1, "First text, revised.", "a"), (1, "First text, earlier.", "a"), (4, "Second text of another.", "c"), (5, "", "c")), path)
+    held = {r.document: r.content for r in out["chunks"].collect()}
+    assert held == {1: "First text, revised.", 2: "Second text of another.", 3: "Third text comes later.", 4: "Second text of another."}
+    assert [(r.id, r.other) for r in out["duplicates"].collect()] == [(4, 2)] and [r.id for r in out["rejected"].collect()] == [5]
+    assert {r.document for r in out["provenance"].collect()} == {1, 2, 3, 4}
+    # a write that ended before its heads is not seen, and the next one goes on
+    spark.read.parquet(f"{path}/chunks/segment=1").withColumn("document", F.lit(9)).write.parquet(f"{path}/chunks/segment=2")
+    assert {r.document for r in RC.open_tables(spark, path)["chunks"].collect()} == {1, 2, 3, 4}
+    again = RC.write(rows(spark, schema, (9, "Ninth text.", "a")), path)
+    assert {r.document for r in again["chunks"].collect()} == {1, 2, 3, 4, 9} and again["chunks"].where("document = 9").first().content == "Ninth text."
+    assert ST.health(spark, path, (*RC.TABLES, "lost")) == {t: True for t in RC.TABLES} | {"lost": False}
+
+
+def test_upsert_has_one_row_for_a_key(spark):
+    from lodestone.operators import storage as ST
+
+    old = rows(spark, "id int, v string", (1, "a"), (2, "b"))
+    got = ST.upsert(old, rows(spark, "id int, v string", (2, "x"), (2, "z"), (2, "y"), (3, "c")), "id")
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "z"), (3, "c")]
+
+
+def test_equal_names_in_linear_work(spark):
+    from lodestone.operators import resolve as R
+
+    many = spark.range(100_000).select(F.col("id").cast("string").alias("id"), F.lit("LOCATION").alias("etype"), F.lit(" New York ").alias("name"), (F.col("id") % 7).cast("int").alias("confidence"))
+    few = rows(spark, "id string, etype string, name string, confidence int", ("x", "LOCATION", "new york", 9), ("y", "LOCATION", "new yorks", 3), ("z", "PERSON", "new york", 1))
+    kept = R.deduplicate(many.unionByName(few))
+    assert {r.id for r in kept.collect()} == {"x", "z"}
+    assert R.similar_pairs(many.unionByName(few), 0.5).count() == 1 and R.classes(many).select("rep").distinct().count() == 1
+
+
+def test_linking(spark):
+    from lodestone.operators import resolve as R
+
+    schema = "id string, etype string, name string, confidence double, source string, properties map<string,string>"
+    new = rows(spark, schema, ("n1", "ORG", "Acme Corporation", 0.5, "a", {"k": "new"}), ("n2", "ORG", "Nobody Knows", 0.4, "a", None), ("n3", "PERSON", "Acme Corporations", 0.3, "a", None))
+    old = rows(spark, schema, ("s1", "ORG", "ACME Corporation", 0.95, "store", {"k": "old", "p": "1"}), ("s2", "ORG", "Acme Limited", 0.9, "store", None))
+    entities, edges = R.resolve(new, old)
+    got = {r.id: r for r in entities.collect()}
+    assert got["n1"].name == "ACME Corporation" and got["n1"].confidence == 1.0 and got["n1"].properties == {"k": "old", "p": "1"} and got["n1"].source == "store"
+    assert got["n2"].confidence == 0.4 and got["n3"].name == "Acme Corporations"
+    assert [(r.id, r.type, r.weight) for r in edges.collect()] == [("link_n1_s1", "RELATED_TO", 1.0)]
+    vec = "id long, etype string, name string, embedding array<float>"
+    a, b = rows(spark, vec, (1, "ORG", "Acme", [1.0, 0.0]), (2, "ORG", "None", None)), rows(spark, vec, (7, "ORG", "Acme", [0.9, 0.1]), (8, "ORG", "Other", [0.0, 1.0]), (9, "ORG", "Acme", [1.0, 0.0, 0.0]))
+    assert [(r.id, r.candidate, r.place) for r in R.candidates_by_embedding(a, b).collect()] == [(1, 7, 1)]
+
+
+def test_long_texts_are_cut_in_linear_time(spark):
+    import time
+
+    from lodestone.operators import preprocess as P
+
+    def took(n):
+        text = spark.range(1).select(F.col("id"), F.repeat(F.lit("some words and more "), n).alias("content"))
+        began = time.time()
+        assert P.chunk_by_size(text, most=400, overlap=80).count() > n // 20
+        return time.time() - began
+
+    took(1000)
+    assert took(250_000) < 10  # five million characters
+
+
+def test_match_and_page(spark):
+    from lodestone.operators import text_search as TS
+
+    docs = rows(spark, "id int, content string", (1, "x" * 80 + " Quick brown foxes run. " + "y" * 80), (2, "nothing here"))
+    q = rows(spark, "query_id int, query string", (1, "brown quick the missing"))
+    pairs = rows(spark, "query_id int, id int", (1, 1), (1, 2))
+    got = {r.id: r for r in TS.match(docs, q, pairs).collect()}
+    assert got[1].matched == ["brown", "quick"] and all("brown foxes" in h and len(h) <= 105 for h in got[1].highlights) and got[2].matched == []
+    found = rows(spark, "query_id int, id int, score int", (1, 1, 5), (1, 2, 5), (1, 3, 9), (1, 4, 1))
+    assert [r.id for r in TS.page(found, 2, 1).orderBy("place").collect()] == [1, 2]
+    assert [r.id for r in TS.page(found, 2, 0, by="id", descending=True).orderBy("place").collect()] == [4, 3]
+    with pytest.raises(ValueError):
+        TS.page(found, 1, -1)
+
+
+def test_whole_recall(spark):
+    from lodestone.plans import recall as RC
+
+    docs = rows(spark, "id long, content string, source string", (1, "machine learning improves search", "a"), (2, "machine gardens", "b"))
+    vectors = rows(spark, "id long, embedding array<float>", (1, [1.0, 0.0]))
+    asked = rows(spark, "query_id int, query string, max_results int, time_budget int", (1, "machine learning", 1, 0), (2, "<script>", 0, 0), (3, "unheard", 0, 0))
+    out = RC.handle(docs, vectors, asked)
+    assert [r.query_id for r in out["rejected"].collect()] == [2]
+    assert [(r.query_id, r.id) for r in out["evidence"].collect()] == [(1, 1)] and out["critique"].count() == 1 and out["conflicts"].count() == 0 and out["formatted"].count() == 1
+    nodes = rows(spark, "id string, type string, name string, chunk_id long", ("e1", "Entity", "Gardens", 2))
+    by_graph = RC.recall(docs, vectors, rows(spark, "query_id int, query string", (1, "learning gardens")), nodes=nodes)
+    assert {r.id for r in by_graph.collect()} == {1, 2}
+
+
+def test_scratch_folder_off_a_local_master(monkeypatch):
+    from lodestone.sources import tables as S
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("J", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(ValueError):
+        S.shared_dir(Session)
+
+
 def test_streams(spark, tmp_path):
     import datetime as dt
 
