@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .constants import KEYWORD_STOP_WORDS
 
@@ -10,6 +10,12 @@ from .constants import KEYWORD_STOP_WORDS
 SPACES = r"[\t\n\x0B\f\r ]+"
 
 
+def bound(rows: DataFrame) -> DataFrame:
+    """The same rows, their columns made once each: expressions above cannot take their place, as they would inside lambdas, where what they
+    say would be worked out again for each element."""
+    return rows.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).alias("r")).select("r.*")
+
+
 def words_of(c: Column) -> Column:
     """Runs of anything but white space."""
     return F.filter(F.split(c, SPACES), lambda x: x != "")

@@ -132,9 +132,10 @@ def context(parsed: DataFrame) -> Column:
 def expand(parsed: DataFrame, limit: int = EXPANSIONS) -> DataFrame:
     """All kinds, and expansions: the first `limit` of them in order, by trimmed lower case."""
     kinds = {"synonyms": synonyms, "paraphrases": paraphrases, "spellings": spellings, "acronyms": acronyms, "context": context}
-    made = parsed.withColumns({k: f(parsed) for k, f in kinds.items()})
-    every = made.withColumn("every", F.concat(*kinds))
+    parsed = T.bound(parsed)
+    made = T.bound(parsed.withColumns({k: f(parsed) for k, f in kinds.items()}))
     same = lambda x: F.lower(T.trimmed(x))
-    keyed = every.withColumn("keys", F.transform("every", same))
+    every = F.concat(*kinds)
+    keyed = T.bound(made.withColumns({"every": every, "keys": F.transform(every, same)}))
     first = F.filter(F.transform("every", lambda x, i: F.when(F.array_position("keys", same(x)) == i + 1, x)), lambda x: x.isNotNull())
     return keyed.withColumn("expansions", F.slice(first, 1, limit)).drop("every", "keys")
