@@ -60,6 +60,12 @@ def dropped(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Shuffle files and broadcasts of finished jobs go once the driver's JVM has collected what refers to them. An iteration of many jobs
+    asks for that between its rounds, so that neither the executors' disks nor the driver's heap fill up with them."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

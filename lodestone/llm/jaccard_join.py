@@ -255,6 +255,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     shared = C.written(kept.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t"), "shared")
     buckets = C.written(kept.join(shared, "t"), "buckets")
     C.dropped(kept, shared)
+    C.swept(spark)
     members = buckets.select("doc_id").distinct()
     sets = C.written(_token_sets(source.join(_small(members), "doc_id", "left_semi"), shingle, percent), "sets")
     labels = C.written(members.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")), "labels")
@@ -269,6 +270,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
         met = found if met is None else met.unionByName(found)
         if _linked(found, percent).limit(1).count():
             labels = components(_linked(found, percent), labels)
+        C.swept(spark)
 
     for turn in range(STAR_ROUNDS):
         meet(_starred(buckets, labels, turn))

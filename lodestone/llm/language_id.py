@@ -91,14 +91,17 @@ def _sample(docs: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col
                 val = [np.concatenate([x[1] / max(x[1].sum(), 1), y[1] / max(y[1].sum(), 1)]).astype(np.float32) for x, y in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), langs.slice(a, b - a), pa.array([i.tobytes() for i in idx], pa.binary()), pa.array([v.tobytes() for v in val], pa.binary())], names=["doc_id", "lang", "idx", "val"])
 
-    found = chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, lang string, idx binary, val binary").collect()
-    found.sort(key=lambda r: (r.lang, zlib.crc32(str(r.doc_id).encode()), r.idx))  # Model takes the rows of a language together
-    langs = sorted({r.lang for r in found})
+    # columns, not rows: the sample's buffers go back whole when the matrix is made
+    found = chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, lang string, idx binary, val binary").toArrow()
+    ids, own = found["doc_id"].to_pylist(), found["lang"].to_pylist()
+    idx, val = found["idx"].combine_chunks(), found["val"].combine_chunks()
+    order = sorted(range(len(own)), key=lambda k: (own[k], zlib.crc32(str(ids[k]).encode()), idx[k].as_py()))  # Model takes the rows of a language together
+    langs = sorted(set(own))
     at = {x: k for k, x in enumerate(langs)}
-    x = np.zeros((len(found), 2 * DIM), np.float32)
-    for k, r in enumerate(found):
-        x[k, np.frombuffer(r.idx, np.int16)] = np.frombuffer(r.val, np.float32)
-    return langs, np.array([at[r.lang] for r in found], np.int64), x
+    x = np.zeros((len(own), 2 * DIM), np.float32)
+    for row, k in enumerate(order):
+        x[row, np.frombuffer(idx[k].as_buffer(), np.int16)] = np.frombuffer(val[k].as_buffer(), np.float32)
+    return langs, np.array([at[own[k]] for k in order], np.int64), x
 
 
 def _svm(parts: list[tuple[np.ndarray, float]], rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, float]:

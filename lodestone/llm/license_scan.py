@@ -8,8 +8,8 @@ lines of the input. These lines are the bounded, labelled sample: at most ``nega
 hash; each is read whole, copies count once, and only lines that a notice covers are left out. The softmax temperature, fitted on
 held-out rows, calibrates `unknown`.
 
-n-grams all of whose words are common in the input are no features: a word of the (bounded) vocabulary is common if it occurs once in
-a hundred lines. These counts cover all words of all texts, in one aggregation. Licence words (`KEYWORDS`) are never common, so a
+n-grams all of whose words are common in the input are no features: a word of the (bounded) vocabulary is common if there is a text
+that has it for every hundred lines. These counts cover all words of all texts, in one aggregation. Licence words (`KEYWORDS`) are never common, so a
 corpus of source files is scanned like any other. L1 leaves few weights.
 
 A paragraph without any weighted n-gram is `unknown` by the offsets alone, and every weighted n-gram has one word in a small
@@ -35,7 +35,7 @@ from .quality_cascade import _let
 NEGATIVE_ROWS = 2_000
 MIN_PROBABILITY = 0.5
 UNKNOWN = "unknown"
-#: A word is common if it occurs once in so many lines; of a small input, as if it had LEAST_LINES lines.
+#: A word is common if a text has it for every so many lines; of a small input, as if it had LEAST_LINES lines.
 COMMON = 100
 LEAST_LINES = 10_000
 
@@ -147,8 +147,8 @@ WHOLE_PASSAGE_WEIGHT, WHOLE_NOTICE_WEIGHT, LOOK_ALIKE_WEIGHT = 12.0, 8.0, 40.0
 
 
 class Model:
-    """classes; offsets; weights of n-grams for each class; trigger words; notices as word sets. counts: occurrences of the vocabulary's
-    words in all texts, of `lines` lines."""
+    """classes; offsets; weights of n-grams for each class; trigger words; notices as word sets. counts: how many of all texts, of
+    `lines` lines, have each word of the vocabulary."""
 
     def __init__(self, negatives: list[str], counts: dict[str, int], lines: int, rows: list[tuple[str, str]] | None = None, seed: int = 5, rounds: int = 1200, l1: float = 5e-5):
         rng = np.random.default_rng(seed)
@@ -237,10 +237,10 @@ def _line_words(text: str) -> str:
 
 def fit(docs: DataFrame, *, text_col: str = "text", negative_rows: int = NEGATIVE_ROWS) -> Model:
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # how often the words of the notices occur, in all lines of all texts
+    # in how many of all texts the words of the notices occur
     rows = notices(tuple(PASSAGES))
     n = text.agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("length(text) - length(replace(text, '\n', '')) + 1")).alias("lines")).first()
-    found = text.select(F.explode(F.expr(_line_words("text"))).alias("w")).where(F.col("w").isin(vocabulary(rows))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    found = text.select(F.explode(F.expr(f"array_intersect({_line_words('text')}, {_strings(vocabulary(rows))})")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.w: r.n for r in found.collect()}  # as many rows as the vocabulary has words, at most
     # distinct lines of texts drawn by a hash, the least by a hash of their own: whatever the copies, no more than negative_rows
     share = min(1.0, negative_rows / max(n["n"], 1))
@@ -257,11 +257,11 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     # the vocabulary is bounded by the built-in notices: a literal map
     keys = _strings(list(model.weights))
     values = "array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in w) + ")" for w in model.weights.values()) + ")"
-    grams = "array_distinct(concat(w, transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> concat(x, ' ', w[i + 1])), transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> concat(x, ' ', w[i + 1], ' ', w[i + 2]))))"
+    grams = "(concat(w, transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> concat(x, ' ', w[i + 1])), transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> concat(x, ' ', w[i + 1], ' ', w[i + 2]))))"
     zero = "array(" + ", ".join(["0.0D"] * k) + ")"
     offset = "array(" + ", ".join(f"{float(v)!r}D" for v in model.b) + ")"
-    # a match's weights come from two parallel arrays, by position: literal, so read and never built again
-    hits = f"transform(filter(transform({grams}, g -> array_position({keys}, g)), p -> p > 0), p -> element_at({values}, cast(p as int)))"
+    # the intersection is by hash; the weights of the few n-grams in it come from a parallel array, by position
+    hits = f"transform(array_intersect({grams}, {keys}), g -> element_at({values}, cast(array_position({keys}, g) as int)))"
     logits = _let("v", hits, f"zip_with(aggregate(v, {zero}, (a, b) -> zip_with(a, b, (x, y) -> x + y)), {offset}, (x, y) -> x / greatest(sqrt(size(v)), 1D) + y)")
     softmax = _let("z", logits, _let("e", "transform(z, x -> exp(x - array_max(z)))", "transform(e, x -> x / aggregate(e, 0D, (a, b) -> a + b))"))
     cover = "size(array_intersect(w, n)) >= least(3, size(n)) AND 2 * size(array_intersect(w, n)) >= least(size(w), size(n))"
