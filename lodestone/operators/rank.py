@@ -143,9 +143,10 @@ def rank(rows: DataFrame, c: Ranking = Ranking()) -> DataFrame:
 
 
 def stats(ranked: DataFrame) -> DataFrame:
-    """query_id, counts, means of the six factors, boosts and penalties."""
+    """query_id, counts, means of the six factors, the metrics of diversity and quality, boosts and penalties."""
     names = ("relevance", "freshness", "authority_score", "quality_score", "diversity", "personal")
     return ranked.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"), *(F.avg(x).alias(f"avg_{x}") for x in names),
+        F.avg("diversity").alias("diversity_metric"), F.avg("quality_score").alias("quality_metric"),
         F.sum(F.size("boosts")).cast("long").alias("boosts"), F.sum(F.size("penalties")).cast("long").alias("penalties"),
     )

@@ -139,3 +139,11 @@ def expand(parsed: DataFrame, limit: int = EXPANSIONS) -> DataFrame:
     keyed = T.bound(made.withColumns({"every": every, "keys": F.transform(every, same)}))
     first = F.filter(F.transform("every", lambda x, i: F.when(F.array_position("keys", same(x)) == i + 1, x)), lambda x: x.isNotNull())
     return keyed.withColumn("expansions", F.slice(first, 1, limit)).drop("every", "keys")
+
+
+def process(queries: DataFrame, limit: int = EXPANSIONS + 2) -> tuple[DataFrame, DataFrame]:
+    """(processed, rejected). Queries of fewer than two bytes, trimmed, are rejected with an error; the others are parsed, with `expanded`:
+    the query itself and its expansions, `limit` texts at most."""
+    short = F.octet_length(T.trimmed(F.coalesce("query", F.lit("")))) < 2
+    made = expand(parse(queries.where(~short)), limit - 1)
+    return made.withColumn("expanded", F.concat(F.array("query"), "expansions")), queries.where(short).withColumn("error", F.lit("query is too short"))

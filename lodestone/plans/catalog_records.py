@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.constants import BLOCKED_IN_CONTENT
 from ..functions.dialect import sql_text
-from ..operators import evidence as EV, graph as G, preprocess as P, provenance as PR, resolve as R, storage as ST, text_search as TS, understand as U, validate as V
+from ..operators import evidence as EV, graph as G, preprocess as P, provenance as PR, records as RE, resolve as R, storage as ST, text_search as TS, understand as U, validate as V
 from ..sources import graph_tables as GT, tables as S
 from ..streaming import ingest as I
 from . import catalog_graph as CG, catalog_ingest as CI, catalog_search as CS, catalog_understand as CU, recall as RC
@@ -276,6 +276,29 @@ def prov_verified(spark, d):
 # ---------------------------------------------------------------- records
 
 
+@_register("rec_json", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer")
+def rec_json(spark, d):
+    """Customers as JSON and back."""
+    rows = S.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    return RE.from_json(RE.to_json(rows), "id long, name string, balance double")
+
+
+@_register("rec_helpers", "SELECT o_orderkey AS id, lower(trim(o_orderpriority)) AS name, 'order ' || o_orderstatus || ' ' || o_orderpriority AS triple, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS evidence, 'trans_' || substring(sha256(o_orderkey || '_create_1'), 1, 16) AS transformation FROM orders")
+def rec_helpers(spark, d):
+    rows = S.table(spark, d, "orders").withColumn("e", F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("c0"))))
+    return rows.select(
+        F.col("o_orderkey").alias("id"), RE.normalized_name(F.col("o_orderpriority")).alias("name"), RE.triple(F.lit("order"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("triple"),
+        RE.evidence_count(RE.with_evidence(F.col("e"), F.lit("c1"))).alias("evidence"), RE.transformation_id(F.col("o_orderkey"), F.lit("create"), F.lit(1)).alias("transformation"),
+    )
+
+
+@_register("q_process", f"WITH {CU._ALL.replace('[1:8] AS expansions', '[1:9] AS expansions')} SELECT query_id, CASE WHEN strlen({CU._trim('qs.query')}) < 2 THEN 'query is too short' ELSE qs.query || ' | ' || array_to_string(expansions, ' | ') END AS expanded FROM k4 JOIN qs USING (query_id)")
+def q_process(spark, d):
+    good, bad = U.process(CU.queries(spark, d))
+    return good.select("query_id", F.array_join("expanded", " | ").alias("expanded")).unionByName(bad.select("query_id", F.col("error").alias("expanded")))
+
+
+
 @_register("v_chunks", "SELECT doc_id AS id, concat_ws('; ', CASE WHEN coalesce(text, '') = '' THEN 'chunk content is empty' END, CASE WHEN doc_id % 3 = 0 THEN 'chunk source is empty' END, CASE WHEN doc_id % 5 = 0 THEN 'chunk confidence out of range' END) AS errors FROM documents")
 def v_chunks(spark, d):
     rows = S.documents(spark, d).withColumns({"source": F.when(F.col("id") % 3 != 0, F.col("source")), "confidence": F.when(F.col("id") % 5 == 0, 1.5).otherwise(0.5)})

@@ -330,6 +330,20 @@ def test_config(tmp_path):
             bad()
 
 
+def test_options():
+    from lodestone import options as O
+
+    assert O.RecallOptions().with_filter("lang", "fr").filters == {"lang": "fr"}
+    assert O.WriteOptions("a").with_tag("x").with_tag("x").with_tag("y").without_tag("x").tags == ("y",)
+    for bad in (
+        lambda: O.RecallOptions(max_results=0), lambda: O.RecallOptions(max_results=1001), lambda: O.RecallOptions(time_budget=0), lambda: O.RecallOptions(sort_by="size"), lambda: O.RecallOptions(min_confidence=1.1),
+        lambda: O.WriteOptions(""), lambda: O.WriteOptions("a", confidence=2), lambda: O.WriteOptions("a", language="eng"), lambda: O.ManageOptions("drop"), lambda: O.ManageOptions("pin", batch_size=0),
+        lambda: O.SearchOptions(""), lambda: O.SearchOptions("q", offset=-1), lambda: O.SearchOptions("q", search_type="x"), lambda: O.GraphOptions(max_depth=11), lambda: O.GraphOptions(max_nodes=0), lambda: O.GraphOptions(algorithm="x"),
+    ):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_format(spark):
     from lodestone.operators import format as FM
 
