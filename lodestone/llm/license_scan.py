@@ -269,7 +269,9 @@ def scan(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     verdict = _let("p", softmax, f"named_struct('line', i + 1, 'family', element_at({_strings(model.classes)}, cast(array_position(p, array_max(p)) as int)), 'probability', array_max(p), 'words', w)")
     line = f"CASE WHEN arrays_overlap(w, {_strings(model.triggers)}) THEN {verdict} END"
     lines = f"filter(transform(split(text, '\\n'), (l, i) -> {_let('w', found, line)}), x -> x IS NOT NULL AND x.family != '{UNKNOWN}' AND x.probability >= {min_probability}D)"
-    confirm = f"transform(flagged, x -> {_let('w', f'array_except(x.words, {_strings(list(FUNCTION_WORDS))})', _let('family', 'x.family', f'named_struct(\'line\', x.line, \'family\', family, \'probability\', x.probability, \'confirmed\', exists({notices}, n -> {cover}))'))})"
+    shown = f"named_struct('line', x.line, 'family', family, 'probability', x.probability, 'confirmed', exists({notices}, n -> {cover}))"
+    telling = f"array_except(x.words, {_strings(list(FUNCTION_WORDS))})"
+    confirm = f"transform(flagged, x -> {_let('w', telling, _let('family', 'x.family', shown))})"
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # texts without a trigger word need no line by line work
     gate = f"arrays_overlap({_line_words('text')}, {_strings(model.triggers)})"

@@ -771,6 +771,8 @@ def test_unseen_licence_wordings():
     assert len(right) / len(unseen) >= 0.9
     best = lambda m, p: max(m.probabilities(p).items(), key=lambda x: x[1])[0]
     assert sum(best(model, x) != LS.UNKNOWN for x in LS.LOOK_ALIKES) <= 0.1 * len(LS.LOOK_ALIKES)
+    told = [(x, best(model, x)) for x in LS.LOOK_ALIKES]
+    assert not any(f != LS.UNKNOWN and any(LS.covers(set(LS.words(x)), set(t)) for t in model.notices[f]) for x, f in told)
     rng = random.Random(10)
     cut = []
     for f, own in LS.PASSAGES.items():  # two thirds of a passage, as a line break or an editor may leave it
