@@ -38,7 +38,8 @@ def near_dedup(rows: DataFrame, near: float = NEAR) -> DataFrame:
         .groupBy("query_id", "id").agg(F.collect_set("other_position").alias("near"))
     )
     none = F.array().cast("array<int>")
-    lists = rows.select("query_id", "id", "position").join(before, ["query_id", "id"], "left").select("query_id", F.struct(F.col("position").cast("int").alias("position"), F.coalesce(F.col("near").cast("array<int>"), none).alias("near")).alias("x"))
+    x = F.struct(F.col("position").cast("int").alias("position"), F.coalesce(F.col("near").cast("array<int>"), none).alias("near"))
+    lists = rows.select("query_id", "id", "position").join(before, ["query_id", "id"], "left").select("query_id", x.alias("x"))
     folded = lists.groupBy("query_id").agg(F.array_sort(F.collect_list("x")).alias("xs")).select(
         "query_id", F.explode(F.aggregate("xs", none, lambda kept, x: F.when(F.arrays_overlap(kept, x["near"]), kept).otherwise(F.concat(kept, F.array(x["position"]))))).alias("position")
     )
@@ -110,7 +111,9 @@ def conflicts(rows: DataFrame, *, gap: float = 0.5, pairs: int | None = None) ->
     one = rows.select("query_id", "id", "source", "confidence", place.alias("i"), n.alias("n"))
     two = one.select("query_id", F.col("id").alias("other"), F.col("source").alias("other_source"), F.col("confidence").alias("other_confidence"), F.col("i").alias("j"))
     number = (F.col("i") - 1) * F.col("n") - F.expr("i * (i - 1) / 2") + (F.col("j") - F.col("i"))
-    return one.join(two, "query_id").where((F.col("i") < F.col("j")) & (number <= pairs if pairs is not None else F.lit(True)) & (F.col("source") != F.col("other_source")) & (F.abs(F.round(F.col("confidence") - F.col("other_confidence"), 9)) > gap)).select("query_id", "id", "other")
+    apart = F.abs(F.round(F.col("confidence") - F.col("other_confidence"), 9)) > gap
+    seen = number <= pairs if pairs is not None else F.lit(True)
+    return one.join(two, "query_id").where((F.col("i") < F.col("j")) & seen & (F.col("source") != F.col("other_source")) & apart).select("query_id", "id", "other")
 
 
 def best_per_source(rows: DataFrame) -> DataFrame:

@@ -97,7 +97,8 @@ def content_pairs(rows: DataFrame) -> DataFrame:
         i, j = np.nonzero(both)
         common = both[i, j].astype(np.float64)
         ids = group.column("id").combine_chunks()
-        return pa.table({"query_id": group.column("query_id").combine_chunks().take(pa.array(np.zeros(len(i), np.int64))), "id": ids.take(pa.array(i)), "other": ids.take(pa.array(j)), "similarity": pa.array(common / (n[i] + n[j] - common))})
+        query = group.column("query_id").combine_chunks().take(pa.array(np.zeros(len(i), np.int64)))
+        return pa.table({"query_id": query, "id": ids.take(pa.array(i)), "other": ids.take(pa.array(j)), "similarity": pa.array(common / (n[i] + n[j] - common))})
 
     kinds = sets.schema
     out = StructType([kinds["query_id"], kinds["id"], StructField("other", kinds["id"].dataType), StructField("similarity", DoubleType())])

@@ -138,4 +138,5 @@ def merged(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def links(pairs: DataFrame) -> DataFrame:
     """Edges RELATED_TO of matched pairs(a, b, similarity); nodes are written before edges."""
-    return pairs.select(F.concat(F.lit("link_"), F.col("a").cast("string"), F.lit("_"), F.col("b").cast("string")).alias("id"), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("RELATED_TO").alias("type"), F.col("similarity").alias("weight"))
+    name = F.concat(F.lit("link_"), F.col("a").cast("string"), F.lit("_"), F.col("b").cast("string"))
+    return pairs.select(name.alias("id"), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("RELATED_TO").alias("type"), F.col("similarity").alias("weight"))
