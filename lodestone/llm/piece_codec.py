@@ -41,6 +41,8 @@ LONG_UNIT = 96
 RUN = 1_024
 #: Fewer units than this do not go together as arrays.
 FEW = 24
+#: Bytes of text that are coded together: arrays of eight bytes a position are made of them.
+SEGMENT = 1 << 19
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -353,7 +355,7 @@ def encode(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id",
         c = codec(proto.value)
         for batch in batches:
             keys = C.as_array(batch, "doc_id")
-            for a, b, buf, offsets in C.segments(C.as_array(batch, "text"), 2 << 20):
+            for a, b, buf, offsets in C.segments(C.as_array(batch, "text"), SEGMENT):
                 ids, each, norm, norm_at = c.encode(buf, offsets)
                 ends = np.cumsum(each)
                 back = c.decoded(ids).tobytes()
