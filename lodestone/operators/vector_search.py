@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 2048
+#: Bytes of query vectors that go out together (one scan of the rows for each such block), and rows and queries of one product.
+BLOCK_BYTES = 32 << 20
+SLICE = 2048
 LEAST_SIMILARITY = 0.1
 
 
@@ -47,31 +49,35 @@ def _block_scores(vectors: DataFrame, ids: list, block: list, k: int | None) ->
     handle = vectors.sparkSession.sparkContext.broadcast([(d, np.array([ids[i] for i in own]), _unit([block[i] for i in own], d)) for d, own in groups.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.asarray(batch.column(0).to_pylist())
-            rows = batch.column(1).to_pylist()
-            for dims, qids, queries in handle.value:
-                sim = np.clip(_unit(rows, dims) @ queries.T, -1, 1)  # rows of other dimensions are zero
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                keys = np.asarray(batch.column(0).to_pylist())
+                rows = batch.column(1).to_pylist()
                 most = len(keys) if k is None else min(k, len(keys))
-                if not most:
-                    continue
-                order = np.lexsort((np.broadcast_to(keys[:, None], sim.shape), -np.round(sim, 9)), axis=0)[:most]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(qids, most)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(sim, order, 0).ravel())], names=["query_id", "id", "similarity"])
+                for dims, every, all_queries in handle.value:
+                    unit = _unit(rows, dims)  # rows of other dimensions are zero
+                    for q in range(0, len(every), SLICE):
+                        qids = every[q : q + SLICE]
+                        sim = np.clip(unit @ all_queries[q : q + SLICE].T, -1, 1)
+                        order = np.lexsort((np.broadcast_to(keys[:, None], sim.shape), -np.round(sim, 9)), axis=0)[:most]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.tile(qids, most)), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(sim, order, 0).ravel())], names=["query_id", "id", "similarity"])
 
     return vectors.select("id", "embedding").mapInArrow(run, "query_id long, id long, similarity double")
 
 
 def similarities(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    out, ids, block = None, [], []
+    out, ids, block, held = None, [], [], 0
     rows = queries.select("query_id", "qe").orderBy("query_id").toLocalIterator()
     for row in _ended(rows):
         if row is not None:
             ids.append(row.query_id)
             block.append(row.qe)
-        if block and (row is None or len(block) == BLOCK):
+            held += 8 * len(row.qe or ()) + 64
+        if block and (row is None or held >= BLOCK_BYTES):
             part = _block_scores(vectors, ids, block, k)
             out = part if out is None else out.unionByName(part)
-            ids, block = [], []
+            ids, block, held = [], [], 0
     return out if out is not None else vectors.sparkSession.createDataFrame([], "query_id long, id long, similarity double")
 
 
