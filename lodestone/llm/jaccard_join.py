@@ -14,8 +14,8 @@ Candidates must share prefix tokens under three global orders of the shingles:
    more tokens than the pair is sure to share) and still keeps the rarest common one. So a passage that many documents share
    brings nobody together. A token that occurs once is never shipped: rows are counted first (pre-aggregated by the mapper), and
    a document all of whose counted tokens may be struck drops out here.
-3. By fingerprint, descending: the last q + 1 tokens of both sets must meet too. This is tested on the pair, before the
-   intersection is counted.
+3. By fingerprint, descending: the last q + 1 tokens of both sets must meet too. Only those tokens travel to a pair for this test;
+   whole sets follow for the pairs that pass all three.
 
 Pairs come from buckets of documents that keep the same token, in rounds: first each document meets one centre of its bucket
 (the document with the largest share of counted tokens, which in a group of near copies is the one that the others are made
@@ -23,7 +23,14 @@ from), which needs rows in proportion to the bucket; links merge documents into
 components that keep a common token. For these, order 2 is taken again over their whole sets: tokens found in one component alone
 come first, as no partner in another one can have them, then the others by exact rarity. A document with more than q(n) of the
 former is done; two of the rest meet if they keep a common token, and their sizes and the places of the token leave room for the
-overlap that a link needs. So a large group of near copies costs a star, and no component is torn apart.
+overlap that a link needs.
+
+In a large group of near copies of one text, of which most link with nobody, the text's own tokens are common and bring all pairs
+together. Where documents would meet too many partners so, they are compared by their differences from a centre c instead: for
+X = A xor c, |A xor B| = |X_A xor X_B|, so a link asks for a stated overlap of X_A and X_B, and that is more than nothing unless both
+are linked to c, which would make them one component. The text's tokens vanish from X, and what is left, a document's own edits, is
+rare. Prefixes, orders, places and rounds are the same over X as over sets, whose centre is empty. So a large group of near copies
+costs a star and its edits, and no component is torn apart; whatever buckets are still large in the end meet pair by pair.
 
 These rounds do not look at every link inside a component. `join` counts them all afterwards: a component is dealt into blocks, and
 every two blocks meet in one task that counts the exact intersections of their sets. This takes work in proportion to the square of
