@@ -10,9 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..functions.constants import EDGE_TYPES, NODE_TYPES
+from ..functions.text import words_of
 from ..sources.tables import dropped, written
 
 CUT_EVERY = 5
+#: What a counted table has at most where it is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def nodes_by_type(nodes: DataFrame, kind: str, **properties) -> DataFrame:
@@ -172,17 +175,38 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return one.withColumn("density", F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)))
 
 
-def name_search(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score: Entity nodes whose name holds a word of the query, whatever the case; the score is always 0.8."""
-    from ..functions.text import words_of
+def name_search(nodes: DataFrame, queries: DataFrame, *, most: int | None = None) -> DataFrame:
+    """query_id, id, score: Entity nodes whose name holds a word of the query, whatever the case; the score is always 0.8. With `most`, the
+    first so many ids of each query, by id.
 
-    names = nodes.where("type = 'Entity'").select("id", F.lower("name").alias("name"))
-    # a term meets only the names that hold its rarest run of three characters (all of a shorter one)
+    Ids whose names hold the same words are a class, and queries meet classes: a word that all names hold is one row for each query, not one
+    for each name, and no pair of a query and an id is made twice or shuffled to be counted once."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(words_of(F.lower("query")))).alias("term"))
+    found = _held_words(nodes.where("type = 'Entity'").select("id", F.lower("name").alias("name")), terms.select("term").distinct())
+    held = written(found.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("held")))
+    classes = held.select("held").distinct().select("held", F.explode("held").alias("term"))
+    asked = written(classes.join(terms, "term").select("held", "query_id").distinct())
+    first = lambda rows, of: rows.withColumn("place", F.row_number().over(Window.partitionBy(of).orderBy("id"))).where(F.col("place") <= most).drop("place")
+    if most is not None:
+        held = first(held, "held")  # a query's first ids are among those of its classes
+    out = held.join(_small(asked), "held").select("query_id", "id", F.lit(0.8).alias("score"))
+    return out if most is None else first(out, "query_id")
+
+
+def _held_words(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, term: the terms that each name holds. A term meets only the names that hold its rarest run of three characters (all of a shorter
+    one), and none if no name holds one of its runs."""
     runs = lambda c, sizes: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.transform(F.array(*map(F.lit, sizes)), lambda k: F.substring(c, i, k))))
     keyed = names.select("id", "name", F.explode(F.array_distinct(runs(F.col("name"), (1, 2, 3)))).alias("key"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(words_of(F.lower("query")))).alias("term"))
     inner = F.when(F.length("term") <= 3, F.array("term")).otherwise(F.filter(runs(F.col("term"), (3,)), lambda x: F.length(x) == 3))
-    parts = terms.select("term").distinct().select("term", F.explode(F.array_distinct(inner)).alias("key"))
-    rare = keyed.join(parts.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    best = parts.join(rare, "key", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "key")).alias("b")).select("term", "b.key")
-    return keyed.join(terms.join(best, "term"), "key").where(F.contains("name", "term")).select("query_id", "id", F.lit(0.8).alias("score")).distinct()
+    parts = written(terms.select("term", F.explode(F.array_distinct(inner)).alias("key")))
+    often = written(keyed.select("key").join(_small(parts.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("m")))
+    rarest = F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "key")).alias("b")
+    best = written(parts.join(_small(often), "key", "left").groupBy("term").agg(rarest).where("b.m > 0").select("term", "b.key"))
+    return keyed.join(_small(best), "key").where(F.contains("name", "term")).select("id", "term")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast where they are few and short; beyond that the join is Catalyst's choice."""
+    n, size = rows.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(rows) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else rows

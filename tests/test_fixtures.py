@@ -219,6 +219,23 @@ def test_equal_names_in_linear_work(spark):
     assert R.similar_pairs(many.unionByName(few), 0.5).count() == 1 and R.classes(many).select("rep").distinct().count() == 1
 
 
+def test_name_search_by_classes(spark, monkeypatch):
+    names = [(f"c{i}", "Entity", f"Customer#{i:09d}") for i in range(300)] + [("c7", "Entity", "Store of MAPS"), ("x", "Entity", None), (None, "Entity", "tom"), ("e", "Entity", ""), ("s", "Source", "Customer"), ("ñ", "Entity", "Peña to")]
+    asked = [(1, "To customer to"), (2, "map st\u00f1 ña"), (3, "0011 er"), (4, ""), (5, None), (6, "customers # zzz"), (7, "tom\tST"), (8, "e")]
+    nodes, queries = rows(spark, "id string, type string, name string", *names), rows(spark, "query_id int, query string", *asked)
+    held = {(q, i) for q, text in asked for i, kind, name in names if kind == "Entity" and name is not None and any(w in name.lower() for w in (text or "").lower().split())}
+    first = lambda q: sorted((i for p, i in held if p == q), key=lambda i: (i is not None, (i or "").encode()))[:3]
+    for most_rows in (G.BROADCAST_ROWS, 0):  # and without a broadcast
+        monkeypatch.setattr(G, "BROADCAST_ROWS", most_rows)
+        got = G.name_search(nodes, queries)
+        if most_rows:  # no row for each pair of query and name is shuffled
+            assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        found = [(r.query_id, r.id) for r in got.collect()]
+        assert len(found) == len(set(found)) > 1000 and set(found) == held
+        few = [(r.query_id, r.id) for r in G.name_search(nodes, queries, most=3).collect()]
+        assert sorted(few, key=str) == sorted(((q, i) for q, _ in asked for i in first(q)), key=str)
+
+
 def test_linking(spark):
     from lodestone.operators import resolve as R
 
